@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["html_text", "fingerprint", "language_id"]
+MODULES = ["mixing", "html_text", "fingerprint", "packing", "language_id"]
 
 
 def registered() -> tuple[dict, dict]:

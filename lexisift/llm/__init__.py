@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["mixing", "html_text", "fingerprint", "packing", "token_files", "url_filter", "language_id"]
+MODULES = ["mixing", "html_text", "fingerprint", "quality_forest", "packing", "token_files", "url_filter", "language_id"]
 
 
 def registered() -> tuple[dict, dict]:

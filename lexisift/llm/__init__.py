@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["mixing", "html_text", "fingerprint", "quality_forest", "packing", "token_files", "url_filter", "jaccard_join", "language_id"]
+MODULES = ["mixing", "html_text", "fingerprint", "line_dedup", "quality_forest", "packing", "token_files", "url_filter", "jaccard_join", "language_id"]
 
 
 def registered() -> tuple[dict, dict]:

@@ -1 +1 @@
-"""lexisift: full-text search and faceting compiled to Spark DataFrame plans."""
+"""Full-text search, faceting and training-data preparation on Spark."""

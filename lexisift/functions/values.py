@@ -143,9 +143,9 @@ class Values:
         return self._each(lambda x: F.lit(None).cast("long"))
 
     def any(self, f: Callable[[Column, Column], Column], number: bool = True) -> Column:
-        """Whether f(number, string) holds for any value; never null."""
-        test = lambda x: F.coalesce(f(self._number(x) if number else x, x if self.kind in ("string", "json") else self._string(x)), F.lit(False))
-        return F.coalesce(F.exists(self.raw, test), F.lit(False)) if self.many else test(self.raw)
+        """Whether f(number, string) holds for any value; null or false if it doesn't."""
+        test = lambda x: f(self._number(x) if number else x, x if self.kind in ("string", "json") else self._string(x))
+        return F.exists(self.raw, lambda x: F.coalesce(test(x), F.lit(False))) if self.many else test(self.raw)
 
     def first(self) -> Column:
         """The number of the first value, null if it has none."""

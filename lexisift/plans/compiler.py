@@ -37,8 +37,13 @@ class Clause:
     exact: bool = False  # match is the conjunction of plain
 
     @staticmethod
-    def of(match: Column, boost: float = 1.0, plain: bool = True) -> Clause:
-        return Clause(match, F.lit(float(boost)), (match,) if plain else (), plain)
+    def of(test: Column, boost: float = 1.0, plain: bool = True) -> Clause:
+        """A constant score where test is true. On the scan the test stands as it is: a null there is as good as false, and the reader knows it."""
+        return Clause(F.coalesce(test, F.lit(False)), F.lit(float(boost)), (test,) if plain else (), plain)
+
+    def bare(self) -> Column:
+        """The conjunction of plain."""
+        return _all(self.plain)
 
 
 def nothing() -> Clause:
@@ -193,11 +198,13 @@ def _sum(columns: list[Column]) -> Column:
 
 
 def _all(columns) -> Column:
-    return reduce(lambda a, b: a & b, columns, F.lit(True))
+    columns = list(columns)
+    return reduce(lambda a, b: a & b, columns) if columns else F.lit(True)
 
 
 def _any(columns) -> Column:
-    return reduce(lambda a, b: a | b, columns, F.lit(False))
+    columns = list(columns)
+    return reduce(lambda a, b: a | b, columns) if columns else F.lit(False)
 
 
 def _where(c: Clause) -> Column:
@@ -251,7 +258,8 @@ def keyword_equals(ctx: Context, path: str, value: str, boost: float = 1.0) -> C
     exact = v.any(lambda _, s: s == value, number=False) if posted else F.lit(False)
     fold = v.any(lambda _, s: (A.normalize(s) == A.py_normalize(value)) & (F.octet_length(s) <= POSTING_BYTES), number=False)
     found = ctx.stat(f"has:{path}:{value}", F.coalesce(F.bool_or(exact), F.lit(False)))
-    return Clause(exact | (~found & fold), F.lit(float(boost)))
+    no = F.lit(False)
+    return Clause(F.coalesce(exact, no) | (~found & F.coalesce(fold, no)), F.lit(float(boost)))
 
 
 def term_filter(ctx: Context, path: str, value, boost: float = 1.0) -> Clause:
@@ -262,17 +270,17 @@ def term_filter(ctx: Context, path: str, value, boost: float = 1.0) -> Clause:
         tok = ctx.tokens(path)
         if tok is None:
             return nothing()
-        return Clause.of(F.coalesce(F.array_contains(tok, A.py_normalize(text)), F.lit(False)), boost, plain=False)
+        return Clause.of(F.array_contains(tok, A.py_normalize(text)), boost, plain=False)
     v = ctx.index.values(path)
     if v is None:
         return nothing()
     want = py_number(value)
     if want is not None and not v.many:  # a comparison that the reader understands
         if v.kind in ("long", "double"):
-            return Clause.of(F.coalesce(v.raw == (F.lit(int(want)) if want.is_integer() and abs(want) < 2**53 else F.lit(want)), F.lit(False)), boost)
+            return Clause.of(v.raw == (F.lit(int(want)) if want.is_integer() and abs(want) < 2**53 else F.lit(want)), boost)
         if v.kind == "time" and isinstance(value, str):
             at = F.timestamp_millis(F.lit(int(want)))
-            return Clause.of(F.coalesce((v.raw >= at) & (v.raw < at + F.expr("interval 1 millisecond")), F.lit(False)), boost)
+            return Clause.of((v.raw >= at) & (v.raw < at + F.expr("interval 1 millisecond")), boost)
     return Clause.of(v.any(lambda n, s: ((n == want) | (s == text)) if want is not None else s == text, number=want is not None), boost)
 
 
@@ -289,9 +297,9 @@ def in_range(v: Values, bounds: dict[str, object]) -> Column:
                 tests.append(v.raw >= at + F.expr("interval 1 millisecond") if k == "gt" else v.raw < at + F.expr("interval 1 millisecond") if k == "lte" else compare[k](v.raw, at))
             else:
                 tests.append(compare[k](v.raw, F.lit(int(n)) if n.is_integer() and abs(n) < 2**53 else F.lit(n)))
-        return F.coalesce(_all(tests), F.lit(False))
+        return _all(tests)
     if not v.many and v.kind == "string" and not any(py_number(b) is not None for b in bounds.values()):
-        return F.coalesce(_all([compare[k](v.raw, F.lit(py_string(b))) for k, b in bounds.items()]), F.lit(False))
+        return _all([compare[k](v.raw, F.lit(py_string(b))) for k, b in bounds.items()])
 
     def test(n: Column, s: Column) -> Column:
         out = []
@@ -441,7 +449,7 @@ def bool_query(ctx: Context, body: dict) -> Clause:
         if least == 1:
             match.append(_any(c.match for c in should))
             if all(c.exact for c in should):
-                plain.append(match[-1])
+                plain.append(_any(c.bare() for c in should))
             else:
                 exact = False
         elif least > 1:
@@ -544,7 +552,8 @@ def _terms(ctx, body):
     for path, values in body.items():
         if path != "boost" and isinstance(values, list):
             parts = [term_filter(ctx, path, v) for v in values]
-            return Clause.of(_any(p.match for p in parts), 1, plain=all(p.exact for p in parts))
+            exact = all(p.exact for p in parts)
+            return Clause.of(_any(p.bare() if exact else p.match for p in parts), 1, plain=exact)
     return nothing()
 
 
@@ -564,7 +573,7 @@ def _exists(ctx, body):
         raise QueryError("exists: a field is wanted")
     if ctx.index.json:
         below = F.exists(F.map_keys("_values"), lambda k: (k == path) | k.startswith(f"{path}."))
-        return Clause.of(F.coalesce(below, F.lit(False)))
+        return Clause.of(below)
     return Clause.of(_any((v.count() > 0) if v.many else v.raw.isNotNull() for v in ctx.index.under(path)))
 
 

@@ -341,7 +341,7 @@ add("term_dictionary", _terms_table, f"WITH {DOC} SELECT term, count(*) AS doc_f
 
 
 def _multi_index(spark: SparkSession, d: str) -> DataFrame:
-    r = engine(spark, d, "documents", "benchmark", "part").search("doc*,bench????k,missing", {"query": {"match": {"text": "with"}}, "size": -1, "_source": False})
+    r = engine(spark, d, "documents", "benchmark", "part").search("doc*,bench???k,missing", {"query": {"match": {"text": "with"}}, "size": -1, "_source": False})
     return r.hits.select("_index", "_id", F.round("_score", 6).alias("score"))
 
 

@@ -88,8 +88,10 @@ def bulk_operations(bodies: DataFrame, default_index: str | None = None) -> Data
 
 def read_bulk(spark: SparkSession, path: str, default_index: str | None = None) -> DataFrame:
     """Bulk files, each one request; the order of requests is that of their paths."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("p"), F.col("value").alias("body"))
-    return bulk_operations(files.select(F.xxhash64("p").alias("request"), "body"), default_index)
+    files = spark.read.text(path, wholetext=True)
+    order = spark.createDataFrame(list(enumerate(sorted(files.inputFiles()))), "request long, p string")
+    bodies = files.select(F.input_file_name().alias("q"), F.col("value").alias("body")).join(order, F.col("p") == F.col("q"))
+    return bulk_operations(bodies.select("request", "body"), default_index)
 
 
 def sequence(ops: DataFrame, start: int = 0) -> DataFrame:

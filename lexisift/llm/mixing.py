@@ -19,7 +19,7 @@ Defined results
 - empty tables and no positive weight: no row. Repeated rows count as often as they occur; rows
   equal in all columns are alike, so it doesn't matter which one is drawn.
 - null ids and texts are drawn like others. All columns are kept; an input column that is called like an output
-  column (shard, position) is replaced. Helper names don't clash with columns that don't begin with two underscores.
+  column (shard, position) is replaced. The columns travel as one struct, so no helper name clashes with them.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def split(blocks: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
 def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", doc_id: str = "doc_id", text: str = "text", rows_per_shard: int = ROWS_PER_SHARD, block: int = BLOCK, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
     """The drawn rows of docs with their columns, `shard` and `position` (from 0, in the shard's shuffled order). weights: by the source as a string, or None."""
     spark, columns = docs.sparkSession, [c for c in docs.columns if c not in ("shard", "position")]
-    rows = docs.select(*[col(c) for c in columns], group_key(col(source)).alias("__s"), F.xxhash64(F.lit(seed), col(doc_id), col(text)).alias("__h"))
+    rows = docs.select(F.struct(*[col(c) for c in columns]).alias("__row"), group_key(col(source)).alias("__s"), F.xxhash64(F.lit(seed), col(doc_id), col(text)).alias("__h"))
     held = {r[0]: r[1] for r in rows.groupBy("__s").count().collect()}  # a row for each source
     if weights is not None:
         weights = {"" if k is None else f"={k}": w for k, w in weights.items()}
@@ -100,12 +100,12 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", do
         return spans.withColumn("__first", F.col("__before")).join(each, ["__s", "__range"]).join(limit, "__s")
 
     plain = [c for c in columns if isinstance(docs.schema[c].dataType, T.AtomicType)]
-    ties = [col(c) for c in sorted(plain, key=lambda c: (c != doc_id, c == text))]
+    ties = [F.col("__row")[c] for c in sorted(plain, key=lambda c: (c != doc_id, c == text))]
     out = ranked(rows, "__s", "__h", ties, sum(held.values()), shards_of).filter(F.col("__rank") < F.col("__quota"))
     at = F.floor(F.col("__rank") / block) - F.floor((F.col("__first")) / block)
     out = out.withColumn("shard", F.get("__shards", at.cast("int")))
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "__rank", "__s"), "__s", "__rank")
-    return out.withColumn("position", (F.row_number().over(local) - 1).cast("long")).select(*[col(c) for c in columns], "shard", "position")
+    return out.withColumn("position", (F.row_number().over(local) - 1).cast("long")).select(*[F.col("__row")[c].alias(c) for c in columns], "shard", "position")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,9 +269,10 @@ class Tree:
     def _flags(self, n: Node, rows: DataFrame, keys: list[str], metrics: list[Node], below: list[Node]) -> None:
         """Buckets that are known beforehand: conditional aggregates in one pass, so empty ones stay."""
         if n.kind == "global":
+            above = rows.select(*keys).distinct() if keys else None
             rows = self.every()
-            if keys:
-                raise QueryError("global: only at the top level")
+            if above is not None:  # below a bucket it shows all documents again, for each bucket
+                rows = rows.crossJoin(above)
         conditions = self._conditions(n)
         label, columns, places = self._label(n, keys), [], []
         if not conditions:

@@ -6,6 +6,8 @@ digits on both sides.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from .engine import Engine
 from .functions.analysis import ACCENTED, PLAIN
 from .operators.search import SearchResult
-from .sources import oplog
+from .sources import oplog, postings
 
 IDS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -340,6 +342,19 @@ def _terms_table(spark: SparkSession, d: str) -> DataFrame:
 add("term_dictionary", _terms_table, f"WITH {DOC} SELECT term, count(*) AS doc_freq FROM (SELECT DISTINCT _id, unnest(t) AS term FROM d) GROUP BY term")
 
 
+def text_postings(spark: SparkSession, d: str) -> postings.Postings:
+    """The postings of all texts, in the folder that executors share (a temporary one only where none is set)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='postings-')}"
+    to = f"{shared.rstrip('/')}/postings-{uuid.uuid4().hex}"
+    postings.build(engine(spark, d, "documents").indices["documents"], "text", to)
+    return postings.Postings(spark, to)
+
+
+add("postings_match", lambda spark, d: text_postings(spark, d).match("with the").select("_id", F.round("score", 6).alias("score")), ORACLES["match_or"])
+add("postings_scan", lambda spark, d: text_postings(spark, d).docs("with").select("_id", "freq", "len", F.array_join("pos", ",").alias("pos")), f"WITH {DOC}, p AS (SELECT _id, len(t) AS n, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS i FROM d) SELECT _id, CAST(count(*) AS INTEGER) AS freq, CAST(any_value(n) AS INTEGER) AS len, string_agg(i, ',' ORDER BY i) AS pos FROM p WHERE w = 'with' GROUP BY _id")
+add("field_stats", lambda spark, d: text_postings(spark, d).field_stats().select("n_docs", F.round("mean_len", 6).alias("mean_len")), f"WITH {DOC} SELECT n AS n_docs, round(l / n, 6) AS mean_len FROM s")
+
+
 def _multi_index(spark: SparkSession, d: str) -> DataFrame:
     r = engine(spark, d, "documents", "benchmark", "part").search("doc*,bench???k,missing", {"query": {"match": {"text": "with"}}, "size": -1, "_source": False})
     return r.hits.select("_index", "_id", F.round("_score", 6).alias("score"))

@@ -93,3 +93,18 @@ def test_dis_max(both):
     a, b = m.match("alfa"), m.match("beta")
     want = {i: max(a.get(i, 0), b.get(i, 0)) + 0.5 * min(a.get(i, 0), b.get(i, 0)) for i in a.keys() | b.keys()}
     close(e, {"dis_max": {"queries": [{"match": {"text": "alfa"}}, {"match": {"text": "beta"}}], "tie_breaker": 0.5}}, want)
+
+
+def test_postings_score_like_the_compiled_query(both, spark, tmp_path):
+    from lexisift.sources.postings import Postings, build
+
+    e, m = both
+    build(e.indices["c"], "text", f"file://{tmp_path}/p")
+    p = Postings(spark, f"file://{tmp_path}/p")
+    for text, operator in (("alfa beta alfa", "or"), ("CAFFÈ gamma", "and"), ("zzz", "or"), ("?", "or")):
+        got = {r["_id"]: r["score"] for r in p.match(text, operator).collect()}
+        want = m.match(text, operator == "and") if py_tokens(text) else {}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+    assert p.doc_freq("alfa").first()[0] == len(m.term("alfa"))
+    plan = p.match("alfa")._jdf.queryExecution().toString()
+    assert "In(term" in plan or "EqualTo(term,alfa)" in plan

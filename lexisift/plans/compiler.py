@@ -100,6 +100,7 @@ class Context:
     def with_tokens(self, df: DataFrame) -> DataFrame:
         if not self.arrays:
             return df
+        df = self.index.spread(df)
         made = {}
         for path, (name, v) in self.arrays.items():
             if self.index.type(path) == "keyword":

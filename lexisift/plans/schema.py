@@ -98,6 +98,16 @@ class Index:
 
     def __post_init__(self):
         self.types = leaves(self.properties)
+        self._splits: int | None = None
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """df over all cores, where the table's files give fewer splits than there are: tokenizing costs more than moving a small table. Large tables stay."""
+        if self._splits is None:
+            plan = self.df._jdf.queryExecution().executedPlan()
+            # only of a plain scan is the number of splits known without running anything
+            self._splits = 1 << 30 if plan.nodeName() == "AdaptiveSparkPlan" else self.df._jdf.queryExecution().toRdd().getNumPartitions()
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        return df.repartition(cores) if self._splits < cores else df
 
     @property
     def json(self) -> bool:

@@ -10,8 +10,8 @@
    shard gets a random mix, the totals are exact and no two shards share a block.
 4. Each shard draws the next blocks of every source's permutation, and its rows are shuffled locally.
 
-The tree holds numbers only (shards x sources); the rows are shuffled twice, once for their exact ranks
-and once to their shard. Everything follows from the seed and the rows, so a lost task gives the same result.
+The tree holds numbers only (shards x sources), of which the driver keeps those of every SUBTREE shards; the
+rest is drawn in tasks. The rows are shuffled twice, once for their exact ranks and once to their shard. Everything follows from the seed and the rows, so a lost task gives the same result.
 
 Defined results
 - a null source is a source of its own, weighted under the key None; without weights like any other.
@@ -25,6 +25,7 @@ Defined results
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,8 @@ TEMPERATURE = 0.7
 ROWS_PER_SHARD = 8192
 BLOCK = 64
 SEED = 17
+#: Shards of a subtree that is drawn in one task.
+SUBTREE = 1024
 
 
 def quotas(rows: dict, weights: dict | None = None, temperature: float = TEMPERATURE) -> dict:
@@ -57,22 +60,56 @@ def quotas(rows: dict, weights: dict | None = None, temperature: float = TEMPERA
         size -= 1
 
 
-def split(blocks: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
-    """Blocks of each source in each shard (shards x sources); the columns add up to `blocks`."""
+def _halves(a: int, b: int, have: np.ndarray, seed: int) -> tuple[int, np.ndarray]:
+    """Where the range of shards a to b is cut, and the blocks of its left half."""
+    mid = (a + b) // 2
+    left = int(have.sum()) * (mid - a) // (b - a)
+    return mid, np.random.default_rng([seed, a, b]).multivariate_hypergeometric(have, left, method="marginals")
+
+
+def split(blocks: np.ndarray, shards: int, seed: int = SEED, first: int = 0) -> np.ndarray:
+    """Blocks of each source in each shard (shards x sources); the columns add up to `blocks`. first: the number of the first shard."""
     out = np.zeros((shards, len(blocks)), dtype=np.int64)
-    stack = [(0, shards, np.asarray(blocks, dtype=np.int64))]
+    stack = [(first, first + shards, np.asarray(blocks, dtype=np.int64))]
     while stack:
         a, b, have = stack.pop()
         if b - a == 1:
-            out[a] = have
+            out[a - first] = have
             continue
-        mid = (a + b) // 2
-        left = int(have.sum()) * (mid - a) // (b - a)
-        part = np.random.default_rng([seed, a, b]).multivariate_hypergeometric(have, left, method="marginals")
+        mid, part = _halves(a, b, have, seed)
         stack += [(a, mid, part), (mid, b, have - part)]
     return out
 
 
+def subtrees(blocks: np.ndarray, shards: int, seed: int = SEED, most: int = SUBTREE) -> list[tuple[int, int, list[int], list[int]]]:
+    """(first shard, number of shards, blocks, blocks before them) of the nodes of the tree with at most `most` shards, in order."""
+    out, stack = [], [(0, shards, np.asarray(blocks, dtype=np.int64))]
+    while stack:
+        a, b, have = stack.pop()
+        if b - a <= most:
+            out.append((a, b - a, have))
+            continue
+        mid, part = _halves(a, b, have, seed)
+        stack += [(mid, b, have - part), (a, mid, part)]
+    before = np.cumsum([np.zeros(len(blocks), dtype=np.int64), *[h for *_, h in out]], axis=0)
+    return [(a, n, h.tolist(), before[i].tolist()) for i, (a, n, h) in enumerate(out)]
+
+
+def block_spans(spark: SparkSession, blocks: np.ndarray, shards: int, order: list[str], seed: int = SEED) -> DataFrame:
+    """(__s, __shard, __from, __to): the blocks of each source's permutation that each shard takes. The tree's top is drawn here, its subtrees in tasks."""
+
+    def draw(it):
+        for pdf in it:
+            for a, n, have, before in pdf.itertuples(index=False):
+                plan = split(np.array(have, dtype=np.int64), n, seed, a)
+                ends = plan.cumsum(axis=0) + np.array(before, dtype=np.int64)
+                k, j = np.nonzero(plan)
+                yield pd.DataFrame({"__s": np.array(order, dtype=object)[j], "__shard": (k + a).astype(np.int32), "__from": ends[k, j] - plan[k, j], "__to": ends[k, j]})
+
+    top = subtrees(blocks, shards, seed) if order else []
+    return spark.createDataFrame(top, "a int, n int, have array<long>, before array<long>").mapInPandas(draw, "__s string, __shard int, __from long, __to long")
+
+
 def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", doc_id: str = "doc_id", text: str = "text", rows_per_shard: int = ROWS_PER_SHARD, block: int = BLOCK, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
     """The drawn rows of docs with their columns, `shard` and `position` (from 0, in the shard's shuffled order). weights: by the source as a string, or None."""
     spark, columns = docs.sparkSession, [c for c in docs.columns if c not in ("shard", "position")]
@@ -83,12 +120,8 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", do
     draw = quotas(held, weights, temperature)
     order = list(draw)
     shards = max(1, -(-sum(draw.values()) // rows_per_shard))
-    plan = split(np.array([-(-draw[s] // block) for s in order], dtype=np.int64), shards, seed)
-    ends = plan.cumsum(axis=0)
-    # shard k takes the blocks from ends[k-1] to ends[k] of a source's permutation
-    spans = [(order[j], k, int(ends[k, j] - plan[k, j]), int(ends[k, j])) for j in range(len(order)) for k in range(shards) if plan[k, j]]
-    taken = spark.createDataFrame(spans, "__s string, __shard int, __from long, __to long")
-    taken = taken.select("__s", "__shard", F.explode(F.sequence("__from", F.col("__to") - 1)).alias("__block"))
+    spans = block_spans(spark, np.array([-(-draw[s] // block) for s in order], dtype=np.int64), shards, order, seed)
+    taken = spans.select("__s", "__shard", F.explode(F.sequence("__from", F.col("__to") - 1)).alias("__block"))
     limit = spark.createDataFrame([(s, draw[s]) for s in order], "__s string, __quota long")
 
     def shards_of(spans: DataFrame) -> DataFrame:

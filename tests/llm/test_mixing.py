@@ -26,6 +26,18 @@ def test_the_tree_splits_exactly_and_without_bias():
     assert abs(parts[:, :, 1].var() / want - 1) < 0.25
 
 
+def test_subtrees_are_the_same_tree(spark, monkeypatch):
+    blocks = np.array([700, 41, 0, 259])
+    whole = mixing.split(blocks, 37, 5)
+    parts = mixing.subtrees(blocks, 37, 5, most=4)
+    assert (np.vstack([mixing.split(np.array(h), n, 5, a) for a, n, h, _ in parts]) == whole).all() and len(parts) > 8
+    monkeypatch.setattr(mixing.subtrees, "__defaults__", (mixing.SEED, 4))
+    got = mixing.block_spans(spark, blocks, 37, ["a", "b", "c", "d"], 5).collect()
+    ends = whole.cumsum(axis=0)
+    want = {("abcd"[j], k, ends[k, j] - whole[k, j], ends[k, j]) for k in range(37) for j in range(4) if whole[k, j]}
+    assert {tuple(r) for r in got} == want
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, f"text {i}", "en", "abc"[min(i % 7, 2)], i) for i in range(3000)]

@@ -107,11 +107,11 @@ class Context:
                 s = v.strings() if v.many else F.array_compact(F.array(v.strings()))
                 made[name] = F.transform(s, lambda x: F.when(F.octet_length(x) <= POSTING_BYTES, x))
             else:
-                # rand() is never evaluated: it keeps the optimizer from copying the tokenizer into each use
-                made[name] = F.coalesce(A.token_array(v.strings(), v.many), F.when(F.rand() < 2, F.array().cast("array<string>")))
+                # a number that the optimizer can't know keeps it from copying the tokenizer into each use
+                made[name] = F.coalesce(A.token_array(v.strings(), v.many), F.when(F.monotonically_increasing_id() >= 0, F.array().cast("array<string>")))
         df = df.withColumns(made)
         if self.joined:
-            none = F.rand() < 0
+            none = F.monotonically_increasing_id() < 0
             df = df.withColumns({j: F.when(none, "").otherwise(F.concat(F.lit(" "), F.array_join(self.arrays[p][0], " ", "\n"), F.lit(" "))) for p, j in self.joined.items()})
         return df
 

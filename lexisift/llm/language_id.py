@@ -6,8 +6,13 @@ log-probability matrix is broadcast. Scoring runs over the whole text of every d
 is one sparse matrix in CSR form (indices = n-gram buckets, row pointers = document bounds, all
 data 1), multiplied with the matrix by gathering and segment sums in numpy.
 
+The posterior only compares the known languages. Whether a text is in one of them at all is told by its mean
+log-likelihood an n-gram under the best language: it must reach that language's bound, which is calibrated on the training
+rows, each scored without its own counts. Few n-grams scatter more, so the mean gets a bonus of SPREAD / sqrt(n-grams).
+
 Defined results
 - null, empty or n-gram-free text: language ``und``, confidence 0, rejected.
+- a text below the bound of its best language (another language, symbols, digits): language ``und``, confidence 0, rejected.
 - a language label that is null is not used for training; no labelled row at all: everything is
   ``und`` with confidence 0 and nothing is rejected but null and empty texts (no model, no verdict).
 - ties between languages: the alphabetically first.
@@ -28,6 +33,8 @@ from .common import col, spare, table
 ORDERS = (2, 3)
 BITS = 15
 SLICE = 1 << 19
+#: The bound of a language: this quantile of its training rows, less MARGIN (log-likelihood an n-gram).
+QUANTILE, MARGIN, SPREAD = 0.001, 0.25, 6.0
 RESULT = "lang string, confidence double, n_grams long"
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
 
@@ -91,13 +98,18 @@ def score(texts: list[str | None], logp: np.ndarray, bits: int = BITS) -> tuple[
     return total, count
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_train_rows: int = 20_000, alpha: float = 0.5, bits: int = BITS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probability matrix from at most about max_train_rows labelled rows, drawn by a hash of the text."""
+def sample(docs: DataFrame, text: str, lang: str, max_train_rows: int) -> DataFrame:
+    """(text, lang) of at most about max_train_rows labelled rows, drawn by a hash of the text."""
     rows = docs.select(col(text).alias("text"), col(lang).alias("lang")).filter("lang is not null and text is not null and text <> ''")
     n = docs.filter(col(lang).isNotNull()).count()
     if n > max_train_rows:
         parts = 1_000_000
         rows = rows.filter(F.pmod(F.xxhash64(F.length("text"), F.substring("text", 1, 64), F.expr("right(text, 64)")), F.lit(parts)) < int(parts * max_train_rows / n))
+    return rows
+
+
+def counted(rows: DataFrame, bits: int) -> tuple[list[str], np.ndarray]:
+    """Languages and how often each bucket occurs in their rows."""
 
     def counts(it):
         for pdf in it:
@@ -115,15 +127,62 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_train_row
     for j, name in enumerate(names):
         own = seen[seen["lang"] == name]
         table_[j, own["bucket"].to_numpy()] = own["n"].to_numpy()
+    return names, table_
+
+
+def log_probabilities(table_: np.ndarray, alpha: float, bits: int) -> np.ndarray:
     out = np.empty(table_.shape, dtype=np.float32)
     for k in range(len(ORDERS)):  # each order is a distribution of its own
         part = table_[:, k << bits : (k + 1) << bits] + alpha
         out[:, k << bits : (k + 1) << bits] = np.log(part / part.sum(axis=1, keepdims=True))
-    return names, out
+    return out
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_train_rows: int = 20_000, alpha: float = 0.5, bits: int = BITS) -> tuple[list[str], np.ndarray]:
+    """Languages and their log-probability matrix from at most about max_train_rows labelled rows."""
+    names, table_ = counted(sample(docs, text, lang, max_train_rows), bits)
+    return names, log_probabilities(table_, alpha, bits)
+
+
+def familiarity(total: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Mean log-likelihood an n-gram with the bonus of short texts."""
+    n = np.maximum(count, 1)
+    return total / n + SPREAD / np.sqrt(n)
 
 
-def decide(total: np.ndarray, count: np.ndarray, names: list[str]) -> pd.DataFrame:
-    """Posterior under equal priors; the orders overlap, so the likelihood is tempered by their number."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_train_rows: int = 20_000, alpha: float = 0.5, bits: int = BITS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, log-probability matrix and the least familiarity of a text in each."""
+    rows = sample(docs, text, lang, max_train_rows)
+    names, table_ = counted(rows, bits)
+    logp = log_probabilities(table_, alpha, bits)
+    if not names:
+        return names, logp, np.zeros(0)
+    model = docs.sparkSession.sparkContext.broadcast((names, table_, logp))
+
+    def left_out(it):
+        names, table_, logp = model.value
+        at = {n: j for j, n in enumerate(names)}
+        sums = [table_[:, k << bits : (k + 1) << bits].sum(axis=1) for k in range(len(ORDERS))]
+        for pdf in it:
+            langs, values = [], []
+            for t, name in zip(pdf["text"], pdf["lang"]):
+                total, n, j, said = 0.0, 0, at.get(name), np.zeros(len(names))
+                for k, b in enumerate(grams(t, bits)):
+                    bucket, own = np.unique(b, return_counts=True)
+                    said += logp[:, bucket] @ own
+                    total += (own * np.log((table_[j, bucket] - own + alpha) / (sums[k][j] - len(b) + alpha * (1 << bits)))).sum()
+                    n += len(b)
+                if n and said.argmax() == j:  # rows that look mislabelled don't count
+                    langs.append(name)
+                    values.append(float(familiarity(np.array(total), np.array(n))))
+            yield pd.DataFrame({"lang": langs, "v": values})
+
+    least = dict(rows.mapInPandas(left_out, "lang string, v double").groupBy("lang").agg(F.percentile_approx("v", QUANTILE, 100_000)).collect())
+    return names, logp, np.array([least.get(n, -np.inf) - MARGIN for n in names])
+
+
+def decide(total: np.ndarray, count: np.ndarray, names: list[str], bounds: np.ndarray | None = None) -> pd.DataFrame:
+    """Posterior under equal priors; the orders overlap, so the likelihood is tempered by their number. Texts below the bound of their best language are in none."""
     if not names:
         return pd.DataFrame({"lang": ["und"] * len(count), "confidence": np.zeros(len(count)), "n_grams": count})
     z = total / len(ORDERS)
@@ -131,17 +190,19 @@ def decide(total: np.ndarray, count: np.ndarray, names: list[str]) -> pd.DataFra
     z /= z.sum(axis=1, keepdims=True)
     best = z.argmax(axis=1)
     none = count == 0
+    if bounds is not None:
+        none |= familiarity(total[np.arange(len(best)), best], count) < bounds[best]
     return pd.DataFrame({"lang": np.where(none, "und", np.array(names, dtype=object)[best]), "confidence": np.where(none, 0.0, z.max(axis=1)), "n_grams": count})
 
 
-def scorer(spark: SparkSession, names: list[str], logp: np.ndarray, bits: int = BITS):
-    model = spark.sparkContext.broadcast((names, logp))
+def scorer(spark: SparkSession, names: list[str], logp: np.ndarray, bits: int = BITS, bounds: np.ndarray | None = None):
+    model = spark.sparkContext.broadcast((names, logp, bounds))
 
     @F.pandas_udf(RESULT)
     def predict(texts: pd.Series) -> pd.DataFrame:
-        names, logp = model.value
+        names, logp, bounds = model.value
         items = texts.where(texts.notna(), None).tolist()
-        return decide(*score(items, logp, bits), names)
+        return decide(*score(items, logp, bits), names, bounds)
 
     return predict
 
@@ -151,18 +212,18 @@ def accepted(result, names: list[str], least: float):
     return (result["n_grams"] > 0) & ((result["confidence"] >= least) if names else F.lit(True))
 
 
-def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5, **fit) -> DataFrame:
+def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5, **how) -> DataFrame:
     """(doc_id, lang, confidence, n_grams, accepted) for every row of docs."""
-    names, logp = train(docs, text, lang, **fit)
-    predict = scorer(docs.sparkSession, names, logp)
+    names, logp, bounds = fit(docs, text, lang, **how)
+    predict = scorer(docs.sparkSession, names, logp, how.get("bits", BITS), bounds)
     out = docs.select(col(doc_id).alias("doc_id"), predict(col(text)).alias("r"))
     return out.select("doc_id", "r.lang", F.round("r.confidence", 6).alias("confidence"), "r.n_grams", accepted(F.col("r"), names, least).alias("accepted"))
 
 
-def filter_language(docs: DataFrame, text: str = "text", lang: str = "lang", least: float = 0.5, **fit) -> DataFrame:
+def filter_language(docs: DataFrame, text: str = "text", lang: str = "lang", least: float = 0.5, **how) -> DataFrame:
     """The rows of docs that aren't rejected, with their columns as they were."""
-    names, logp = train(docs, text, lang, **fit)
-    predict = scorer(docs.sparkSession, names, logp)
+    names, logp, bounds = fit(docs, text, lang, **how)
+    predict = scorer(docs.sparkSession, names, logp, how.get("bits", BITS), bounds)
     (tmp,) = spare(docs, "language")
     return docs.withColumn(tmp, predict(col(text))).filter(accepted(F.col(tmp), names, least)).drop(tmp)
 

@@ -66,3 +66,15 @@ def test_edges(spark, edge, empty):
     bare = L.identify(edge.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()
     assert all(r["lang"] == "und" and r["confidence"] == 0 for r in bare) and sum(r["accepted"] for r in bare) == 10
     assert L.identify(empty).count() == 0 and L.filter_language(empty).count() == 0
+
+
+def test_texts_in_no_trained_language_are_rejected(spark):
+    held = [(1000 + i, t, None, True) for i, t, _ in rows(8, 200)]
+    foreign = ["Однажды весною, в час небывало жаркого заката, в Москве появились два гражданина. ", "在很久很久以前有一个国家住着一位年老的国王", "Litwo, ojczyzno moja, ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie. ", "#$%&*", "3141592653589793238462643383279", "deadbeef0123456789abcdef4c7a11"]
+    planted = [(2000 + i, x * n, None, False) for n in (5, 60) for i, x in enumerate(foreign, 10 * n)]
+    docs = [(*r, True) for r in rows(7, 400)] + held + planted
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, want boolean")
+    got = {r["doc_id"]: r for r in L.identify(df).collect()}
+    assert [i for i, *_, want in docs if got[i]["accepted"] != want] == []
+    assert all(got[i]["lang"] == "und" and got[i]["confidence"] == 0 for i, *_ in planted)
+    assert {r["doc_id"] for r in L.filter_language(df).collect()}.isdisjoint({i for i, *_ in planted})

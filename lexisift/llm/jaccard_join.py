@@ -69,8 +69,8 @@ def _chunks(texts: list[str | None]):
         yield part
 
 
-def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, k: hash of the words, sig: BANDS longs of four values each) for documents with an id and a word."""
+def sketch(docs: DataFrame, doc_id: str, text: str, own: bool = False) -> DataFrame:
+    """(id, k: hash of the words, sig: BANDS longs of four values each) for documents with an id and a word; own: and u, the hash of the text."""
 
     def run(it):
         for data in it:
@@ -82,10 +82,13 @@ def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     continue
                 bands = np.ascontiguousarray(sig[live]).view(np.int64).reshape(len(live), BANDS)
                 at = pa.array(np.arange(0, (len(live) + 1) * BANDS, BANDS), pa.int32())
-                yield pa.record_batch([ids.take(pa.array(np.array(part)[live])), pa.array(k[live].view(np.int64)), pa.ListArray.from_arrays(at, pa.array(bands.ravel()))], names=["id", "k", "sig"])
+                rows = pa.array(np.array(part)[live])
+                more = [data.column(2).take(rows)] if own else []
+                yield pa.record_batch([ids.take(rows), pa.array(k[live].view(np.int64)), pa.ListArray.from_arrays(at, pa.array(bands.ravel())), *more], names=["id", "k", "sig", *["u"][: len(more)]])
 
-    rows = docs.select(col(doc_id).alias("id"), col(text).alias("text")).filter("id is not null and text is not null")
-    return rows.mapInArrow(run, f"id {docs.schema[doc_id].dataType.simpleString()}, k long, sig array<long>")
+    more = [F.xxhash64(col(text)).alias("u")] if own else []
+    rows = docs.select(col(doc_id).alias("id"), col(text).alias("text"), *more).filter("id is not null and text is not null")
+    return rows.mapInArrow(run, f"id {docs.schema[doc_id].dataType.simpleString()}, k long, sig array<long>" + ", u long" * own)
 
 
 def least_matches(threshold: float, tolerance: float) -> list[int]:
@@ -293,17 +296,18 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     """docs without the near duplicates: of each group of documents that pairs connect, the one with the least id stays.
 
     Documents with no id or no word stay. All columns are kept. Of repeated rows of the document that stays, all stay.
+    Of an id with several texts, only the rows go whose own text is a duplicate.
     """
-    sketches = cut(sketch(docs, doc_id, text))
+    sketches = cut(sketch(docs, doc_id, text, own=True))
     reps = sketches.groupBy("k").agg(F.min("id").alias("id"))
     one = sketches.groupBy("k").agg(F.first("sig").alias("sig"))
     found = cut(survivors(one, threshold, tolerance))
     roots = components(verified(docs, reps, found, doc_id, text, threshold, forest=True))
-    ids = sketches.select("id", "k").join(roots, "k", "left").select("id", F.coalesce("root", "k").alias("root"))
+    ids = sketches.select("id", "k", "u").join(roots, "k", "left").select("id", "u", F.coalesce("root", "k").alias("root"))
     keep = ids.groupBy("root").agg(F.min("id").alias("keep"))
-    (gone,) = spare(docs, "gone")
-    dropped = ids.join(keep, "root").filter("id <> keep").select(F.col("id").alias(gone)).distinct()
-    return docs.join(dropped, docs[doc_id] == dropped[gone], "left_anti")
+    gone, own = spare(docs, "gone", "own")
+    dropped = ids.join(keep, "root").filter("id <> keep").select(F.col("id").alias(gone), F.col("u").alias(own)).distinct()
+    return docs.join(dropped, (docs[doc_id] == dropped[gone]) & (F.xxhash64(docs[text]) == dropped[own]), "left_anti")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

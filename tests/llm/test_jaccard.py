@@ -82,3 +82,13 @@ def test_edges(spark, edge, edge_rows, empty):
     assert J.pairs(empty).count() == 0 and J.keep_one(empty).count() == 0
     two = spark.createDataFrame([(1, "a b c d e f"), (1, "x y z"), (2, "a b c d e f"), (3, "x y z")], "doc_id long, text string")
     assert found(J.pairs(two)) == {(1, 2): 1.0, (1, 3): 1.0}
+
+
+def test_keep_one_drops_only_the_text_that_is_a_duplicate(spark):
+    a, b, c = "a b c d e f", "x y z u v w", "own words of the third text"
+    rows = [(1, a), (5, a), (5, a), (5, b), (7, b), (9, a), (9, c), (9, ""), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"], str(r["text"])) for r in J.keep_one(df).collect())
+    assert kept == sorted([(1, a), (5, b), (9, c), (9, ""), (9, "None")])
+    near = [(1, " ".join(f"v{i}" for i in range(200))), (2, " ".join(f"v{i}" for i in range(199)) + " last"), (2, c), (3, c)]
+    assert {tuple(r) for r in J.keep_one(spark.createDataFrame(near, "doc_id long, text string")).collect()} == {near[0], near[2]}

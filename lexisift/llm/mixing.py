@@ -2,7 +2,8 @@
 
 1. Quotas. The mix holds T rows, source s exactly round(T * w_s) of them (largest remainders), with
    the largest T for which no source is asked for more rows than it has. Without weights, the target is the
-   tempered distribution w_s = n_s ** TEMPERATURE.
+   tempered distribution w_s = n_s ** TEMPERATURE. With `epochs`, a source that is too small is repeated up to so many times, and what it
+   is short of then isn't taken from the others: T is `size`, or the least at which every source is drawn whole. A turn continues the ranks of the one before, so rows are repeated only after they are ranked. `kept` reports rows and quotas.
 2. Blocks. In a pseudo-random order, the rows of a source's quota are cut into blocks of `block` rows
    (the last may be shorter).
 3. Tree. The vector of block quotas of a range of output shards is split between its halves by a
@@ -39,16 +40,32 @@ BLOCK = 64
 SEED = 17
 #: Shards of a subtree that is drawn in one task.
 SUBTREE = 1024
+#: Times that op1_mixing repeats a source that is too small for its share.
+EPOCHS = 4
 
 
-def quotas(rows: dict, weights: dict | None = None, temperature: float = TEMPERATURE) -> dict:
-    """Rows to draw from each source: the largest mix in the target proportions without repeats."""
+def quotas(rows: dict, weights: dict | None = None, temperature: float = TEMPERATURE, size: int | None = None, epochs: int | None = None) -> dict:
+    """Rows to draw from each source: the largest mix in the target proportions without repeats.
+
+    With size or epochs (1 if only size is given): size rows, or as many as draw every source whole, of which no source gives more than
+    epochs times its rows; the others don't make up for that.
+    """
     order = sorted((s for s in rows if rows[s] > 0), key=lambda s: (s is None, str(s)))
     w = {s: float(rows[s]) ** temperature if weights is None else float(weights.get(s) or 0) for s in order}
     order = [s for s in order if w[s] > 0]
     if not order:
         return {}
     total = sum(w[s] for s in order)
+    if size is not None or epochs is not None:
+        most = {s: rows[s] * (1 if epochs is None else epochs) for s in order}
+        if size is None:
+            scale = max(rows[s] / w[s] for s in order)
+            return {s: min(max(rows[s], round(w[s] * scale)), most[s]) for s in order}
+        exact = {s: size * w[s] / total for s in order}
+        out = {s: int(exact[s]) for s in order}
+        for s in sorted(order, key=lambda s: (out[s] - exact[s], order.index(s)))[: size - sum(out.values())]:
+            out[s] += 1
+        return {s: min(out[s], most[s]) for s in order}
     size = int(min(rows[s] * total / w[s] for s in order) * (1 + 1e-12))
     while True:
         exact = {s: size * w[s] / total for s in order}
@@ -110,27 +127,41 @@ def block_spans(spark: SparkSession, blocks: np.ndarray, shards: int, order: lis
     return spark.createDataFrame(top, "a int, n int, have array<long>, before array<long>").mapInPandas(draw, "__s string, __shard int, __from long, __to long")
 
 
-def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", doc_id: str = "doc_id", text: str = "text", rows_per_shard: int = ROWS_PER_SHARD, block: int = BLOCK, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
-    """The drawn rows of docs with their columns, `shard` and `position` (from 0, in the shard's shuffled order). weights: by the source as a string, or None."""
-    spark, columns = docs.sparkSession, [c for c in docs.columns if c not in ("shard", "position")]
-    rows = docs.select(F.struct(*[col(c) for c in columns]).alias("__row"), group_key(col(source)).alias("__s"), F.xxhash64(F.lit(seed), col(doc_id), col(text)).alias("__h"))
+def _drawn(rows: DataFrame, weights: dict | None, temperature: float, size: int | None, epochs: int | None) -> tuple[dict, dict]:
+    """Rows and quotas by the source's key (column __s of rows)."""
     held = {r[0]: r[1] for r in rows.groupBy("__s").count().collect()}  # a row for each source
     if weights is not None:
         weights = {"" if k is None else f"={k}": w for k, w in weights.items()}
-    draw = quotas(held, weights, temperature)
+    return held, quotas(held, weights, temperature, size, epochs)
+
+
+def kept(docs: DataFrame, weights: dict | None = None, source: str = "source", temperature: float = TEMPERATURE, size: int | None = None, epochs: int | None = None) -> DataFrame:
+    """(source, rows, drawn) of what mix draws with these parameters; drawn > rows: repeats."""
+    held, draw = _drawn(docs.select(group_key(col(source)).alias("__s")), weights, temperature, size, epochs)
+    return docs.sparkSession.createDataFrame([(s[1:] if s else None, n, draw.get(s, 0)) for s, n in sorted(held.items())], "source string, rows long, drawn long")
+
+
+def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", doc_id: str = "doc_id", text: str = "text", rows_per_shard: int = ROWS_PER_SHARD, block: int = BLOCK, seed: int = SEED, temperature: float = TEMPERATURE, size: int | None = None, epochs: int | None = None) -> DataFrame:
+    """The drawn rows of docs with their columns, `shard` and `position` (from 0, in the shard's shuffled order). weights: by the source as a string, or None; size, epochs: see quotas."""
+    spark, columns = docs.sparkSession, [c for c in docs.columns if c not in ("shard", "position")]
+    rows = docs.select(F.struct(*[col(c) for c in columns]).alias("__row"), group_key(col(source)).alias("__s"), F.xxhash64(F.lit(seed), col(doc_id), col(text)).alias("__h"))
+    held, draw = _drawn(rows, weights, temperature, size, epochs)
     order = list(draw)
     shards = max(1, -(-sum(draw.values()) // rows_per_shard))
     spans = block_spans(spark, np.array([-(-draw[s] // block) for s in order], dtype=np.int64), shards, order, seed)
     taken = spans.select("__s", "__shard", F.explode(F.sequence("__from", F.col("__to") - 1)).alias("__block"))
-    limit = spark.createDataFrame([(s, draw[s]) for s in order], "__s string, __quota long")
+    limit = spark.createDataFrame([(s, draw[s], held[s], max(1, -(-draw[s] // held[s]))) for s in order], "__s string, __quota long, __held long, __turns int")
 
     def shards_of(spans: DataFrame) -> DataFrame:
         """To each span of ranks, the shards of its blocks from its first one on: blocks that no shard takes come last."""
+        spans = spans.join(limit, "__s").withColumn("__turn", F.explode(F.sequence(F.lit(0), F.col("__turns") - 1)))
+        spans = spans.withColumn("__before", F.col("__before") + F.col("__turn") * F.col("__held")).drop("__held", "__turns")
         first, last = F.floor(F.col("__before") / block), F.floor((F.col("__before") + F.col("__n") - 1) / block)
-        each = spans.select("__s", "__range", F.explode(F.sequence(first, last)).alias("__block")).join(taken, ["__s", "__block"])
-        each = each.groupBy("__s", "__range").agg(F.sort_array(F.collect_list(F.struct("__block", "__shard"))).alias("x"))
-        each = each.select("__s", "__range", F.transform("x", lambda x: x["__shard"]).alias("__shards"))
-        return spans.withColumn("__first", F.col("__before")).join(each, ["__s", "__range"]).join(limit, "__s")
+        key = ["__s", "__range", "__turn"]
+        each = spans.select(*key, F.explode(F.sequence(first, last)).alias("__block")).join(taken, ["__s", "__block"])
+        each = each.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__block", "__shard"))).alias("x"))
+        each = each.select(*key, F.transform("x", lambda x: x["__shard"]).alias("__shards"))
+        return spans.withColumn("__first", F.col("__before")).join(each, key)
 
     plain = [c for c in columns if isinstance(docs.schema[c].dataType, T.AtomicType)]
     ties = [F.col("__row")[c] for c in sorted(plain, key=lambda c: (c != doc_id, c == text))]
@@ -142,7 +173,7 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", do
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents"), epochs=EPOCHS)
 
 
 QUERIES = {"op1_mixing": op1_mixing}

@@ -80,3 +80,29 @@ def test_edges(edge, empty):
     assert Counter(r["source"] for r in got.collect()) == {None: 1, "a": 1, "b": 1, "c": 1, "": 1}
     assert {r["k"] for r in got.collect()} == {"extra k"} and {r["__s"] for r in got.collect()} == {"extra __s"}
     assert mixing.mix(empty).count() == 0 and mixing.mix(edge, {"nowhere": 1}).count() == 0 and mixing.mix(edge, {}).count() == 0
+
+
+def test_a_tiny_source_does_not_shrink_the_others(spark):
+    assert mixing.quotas({"a": 1_000_000, "b": 1}, epochs=4) == {"a": 1_000_000, "b": 4}
+    assert mixing.quotas({"a": 500, "b": 500}, epochs=4) == {"a": 500, "b": 500}
+    assert mixing.quotas({"a": 100, "b": 10}, {"a": 1, "b": 1}, size=100) == {"a": 50, "b": 10}
+    assert mixing.quotas({"a": 100, "b": 10}, {"a": 1, "b": 1}, size=60, epochs=2) == {"a": 30, "b": 20}
+    rows = [(i, f"text {i}", None if i == 0 else "b" if i < 100 else "a") for i in range(30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    report = {r["source"]: (r["rows"], r["drawn"]) for r in mixing.kept(df, epochs=4).collect()}
+    assert report == {None: (1, 4), "b": (99, 396), "a": (29_900, 29_900)}
+    some = mixing.kept(df, {"a": 1, "b": 1}, size=500, epochs=3).collect()
+    assert {r["source"]: r["drawn"] for r in some} == {None: 0, "a": 250, "b": 250}
+    for kw, want in (({"epochs": 4}, {i: 4 if i < 100 else 1 for i in range(30_000)}), ({"weights": {"b": 1}, "size": 250, "epochs": 3}, None)):
+        got = mixing.mix(df, **kw).collect()
+        n = Counter(r["doc_id"] for r in got)
+        if want:
+            assert n == want
+        else:  # each row twice or thrice, no row more than another by two
+            assert len(n) == 99 and sorted(Counter(n.values()).items()) == [(2, 47), (3, 52)]
+        assert len({(r["shard"], r["position"]) for r in got}) == len(got)
+
+
+def test_op1_keeps_every_document(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i}", "rare" if i == 0 else "a") for i in range(1000)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert mixing.op1_mixing(spark, str(tmp_path)).select("doc_id").distinct().count() == 1000

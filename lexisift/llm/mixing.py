@@ -12,14 +12,17 @@
 4. Each shard draws the next blocks of every source's permutation, and its rows are shuffled locally.
 
 The tree holds numbers only (shards x sources), of which the driver keeps those of every SUBTREE shards; the
-rest is drawn in tasks. The rows are shuffled twice, once for their exact ranks and once to their shard. Everything follows from the seed and the rows, so a lost task gives the same result.
+rest is drawn in tasks. The rows are shuffled twice, once for their exact ranks and once to their shard; their texts travel compressed (zstandard), from
+before the first shuffle to behind the last. Everything follows from the seed and the rows, so a lost task gives the same result.
 
 Defined results
 - a null source is a source of its own, weighted under the key None; without weights like any other.
 - a source without a weight, or with weight 0, is left out; a weighted source without rows is ignored.
 - empty tables and no positive weight: no row. Repeated rows count as often as they occur; rows
   equal in all columns are alike, so it doesn't matter which one is drawn.
-- null ids and texts are drawn like others. All columns are kept; an input column that is called like an output
+- null ids, null and empty texts and very long ones are drawn like others, whole; a shard has rows_per_shard rows, however long they are.
+- ties of the order (equal hashes) go by id, text and the other plain columns.
+- all columns are kept; an input column that is called like an output
   column (shard, position) is replaced. The columns travel as one struct, so no helper name clashes with them.
 """
 
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,6 +131,18 @@ def block_spans(spark: SparkSession, blocks: np.ndarray, shards: int, order: lis
     return spark.createDataFrame(top, "a int, n int, have array<long>, before array<long>").mapInPandas(draw, "__s string, __shard int, __from long, __to long")
 
 
+@F.pandas_udf(T.BinaryType())
+def _packed(texts: pd.Series) -> pd.Series:
+    z = zstandard.ZstdCompressor(level=1)
+    return texts.map(lambda t: z.compress(t.encode("utf-8", "surrogatepass")), na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _unpacked(data: pd.Series) -> pd.Series:
+    z = zstandard.ZstdDecompressor()
+    return data.map(lambda b: z.decompress(b).decode("utf-8", "surrogatepass"), na_action="ignore")
+
+
 def _drawn(rows: DataFrame, weights: dict | None, temperature: float, size: int | None, epochs: int | None) -> tuple[dict, dict]:
     """Rows and quotas by the source's key (column __s of rows)."""
     held = {r[0]: r[1] for r in rows.groupBy("__s").count().collect()}  # a row for each source
@@ -144,7 +160,9 @@ def kept(docs: DataFrame, weights: dict | None = None, source: str = "source", t
 def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", doc_id: str = "doc_id", text: str = "text", rows_per_shard: int = ROWS_PER_SHARD, block: int = BLOCK, seed: int = SEED, temperature: float = TEMPERATURE, size: int | None = None, epochs: int | None = None) -> DataFrame:
     """The drawn rows of docs with their columns, `shard` and `position` (from 0, in the shard's shuffled order). weights: by the source as a string, or None; size, epochs: see quotas."""
     spark, columns = docs.sparkSession, [c for c in docs.columns if c not in ("shard", "position")]
-    rows = docs.select(F.struct(*[col(c) for c in columns]).alias("__row"), group_key(col(source)).alias("__s"), F.xxhash64(F.lit(seed), col(doc_id), col(text)).alias("__h"))
+    small = text in columns and isinstance(docs.schema[text].dataType, T.StringType)
+    sent = [_packed(col(c)).alias(c) if small and c == text else col(c) for c in columns]
+    rows = docs.select(F.struct(*sent).alias("__row"), group_key(col(source)).alias("__s"), F.xxhash64(F.lit(seed), col(doc_id), col(text)).alias("__h"))
     held, draw = _drawn(rows, weights, temperature, size, epochs)
     order = list(draw)
     shards = max(1, -(-sum(draw.values()) // rows_per_shard))
@@ -169,7 +187,8 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", do
     at = F.floor(F.col("__rank") / block) - F.floor((F.col("__first")) / block)
     out = out.withColumn("shard", F.get("__shards", at.cast("int")))
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "__rank", "__s"), "__s", "__rank")
-    return out.withColumn("position", (F.row_number().over(local) - 1).cast("long")).select(*[F.col("__row")[c].alias(c) for c in columns], "shard", "position")
+    back = [(_unpacked(F.col("__row")[c]) if small and c == text else F.col("__row")[c]).alias(c) for c in columns]
+    return out.withColumn("position", (F.row_number().over(local) - 1).cast("long")).select(*back, "shard", "position")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,58 @@ def test_a_tiny_source_does_not_shrink_the_others(spark):
 def test_op1_keeps_every_document(spark, tmp_path):
     spark.createDataFrame([(i, f"text {i}", "rare" if i == 0 else "a") for i in range(1000)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert mixing.op1_mixing(spark, str(tmp_path)).select("doc_id").distinct().count() == 1000
+
+
+def brute_mix(rows, hashes, quota, rows_per_shard, block, seed):
+    """{(doc_id, shard, position): times}: ranks, tree, blocks and local shuffle row by row. rows: (doc_id, source); hashes: the order of each row, and a function for the shuffle."""
+    import xxhash
+
+    def chained(*values):
+        """Spark's xxhash64 of longs, ints and strings."""
+        h = 42
+        for v in values:
+            data = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True)
+            h = xxhash.xxh64_intdigest(data, h)
+        return h - (1 << 64) if h >> 63 else h
+
+    def tree(a, b, have):
+        if b - a == 1:
+            return {a: have}
+        mid = (a + b) // 2
+        left = np.random.default_rng([seed, a, b]).multivariate_hypergeometric(have, int(have.sum()) * (mid - a) // (b - a), method="marginals")
+        return tree(a, mid, left) | tree(mid, b, have - left)
+
+    names, out = list(quota), []
+    shards = max(1, -(-sum(quota.values()) // rows_per_shard))
+    plan = tree(0, shards, np.array([-(-quota[s] // block) for s in names]))
+    ranges = max(1, -(-len(rows) // 20_000))
+    for j, s in enumerate(names):
+        own = sorted((r for r in rows if r[1] == s), key=lambda r: (((hashes[r[0]] % (1 << 64)) >> 20) % ranges, hashes[r[0]], r[0]))
+        owner = [k for k in range(shards) for _ in range(int(plan[k][j]))]
+        for rank in range(quota[s]):
+            out.append((own[rank % len(own)][0], owner[rank // block], chained((seed + 1, 4), (rank, 8), f"={s}"), f"={s}", rank))
+    got = Counter()
+    for k in range(shards):
+        for position, r in enumerate(sorted((r for r in out if r[1] == k), key=lambda r: r[2:])):
+            got[r[0], k, position] += 1
+    return got
+
+
+@pytest.mark.parametrize("how", [{}, {"epochs": 3}, {"weights": {"a": 2, "c": 1}, "size": 900, "epochs": 2}])
+def test_against_a_draw_row_by_row(docs, how):
+    from pyspark.sql import functions as F
+
+    seed = 23
+    rows = [(r["doc_id"], r["source"]) for r in docs.collect()]
+    hashes = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "text")).collect()}
+    quota = mixing.quotas(Counter(s for _, s in rows), how.get("weights"), size=how.get("size"), epochs=how.get("epochs"))
+    got = mixing.mix(docs, rows_per_shard=150, block=16, seed=seed, **how)
+    assert Counter((r["doc_id"], r["shard"], r["position"]) for r in got.collect()) == brute_mix(rows, hashes, quota, 150, 16, seed)
+
+
+def test_texts_come_back_as_they_were(spark):
+    texts = [None, "", "a", "Ünïcödé ß 漢字 🙂\n\t", "long " * 400_000, "\x00 nul"]
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["text"] for r in mixing.mix(df).collect()} == dict(enumerate(texts))
+    other = df.withColumn("text", df["doc_id"])  # not a string: as it is
+    assert {r["text"] for r in mixing.mix(other).collect()} == set(range(len(texts)))

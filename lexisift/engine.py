@@ -37,7 +37,7 @@ class Engine:
             raise ValueError(f"invalid index name [{name}]")
         stored = paths_of(df.schema)
         properties = typed_properties(df.schema) | ((mapping or {}).get("properties") or {})
-        self.indices[name] = Index(name, df.withColumn("_id", F.col(f"`{id_col}`").cast("string")), properties, stored)
+        self.indices[name] = Index(name, df.withColumn("_id", F.col(f"`{id_col}`").cast("string")), properties, stored, key=id_col)
         return self.indices[name]
 
     def create(self, name: str, mapping: dict | None = None, settings: dict | None = None) -> Index:
@@ -115,7 +115,8 @@ class Engine:
         return self.matches(expression, (body or {}).get("query")).agg(F.count(F.lit(1)).alias("count"))
 
     def get(self, name: str, doc_id: str) -> DataFrame:
-        return self._one(name).df.filter(F.col("_id") == doc_id)
+        x = self._one(name)
+        return x.df.filter(x.has_id([doc_id]))
 
     def mget(self, name: str | None, docs: Iterable[dict] = (), ids: Iterable[str] = ()) -> DataFrame:
         """(position, _index, _id, found, _source) in the order asked; documents as JSON."""
@@ -125,7 +126,7 @@ class Engine:
         for n in sorted({n for n, _ in asked if n in self.indices}):
             x = self.indices[n]
             source = F.col("_source") if x.json else F.to_json(F.struct(*[f"`{c}`" for c in x.source_columns()]))
-            part = x.df.filter(F.col("_id").isin([d for m, d in asked if m == n])).select(F.lit(n).alias("__n"), F.col("_id").alias("__d"), source.alias("_source"))
+            part = x.df.filter(x.has_id([d for m, d in asked if m == n])).select(F.lit(n).alias("__n"), F.col("_id").alias("__d"), source.alias("_source"))
             held = part if held is None else held.unionByName(part)
         if held is None:
             return want.select("*", F.lit(False).alias("found"), F.lit(None).cast("string").alias("_source"))

@@ -12,22 +12,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DATE_FORMATS = ["yyyy-MM-dd H:mm:ss[.SSS]", "yyyy-MM-dd'T'H:mm:ss[.SSS]XXX", "yyyy-MM-dd'T'H:mm:ss[.SSS]", "yyyy-MM-dd"]
+#: With the zone at their end, which is added where the text has none: what a date means doesn't depend on the session.
+DATE_FORMATS = [("yyyy-MM-dd H:mm:ss[.SSS]XXX", "Z"), ("yyyy-MM-dd'T'H:mm:ss[.SSS]XXX", ""), ("yyyy-MM-dd'T'H:mm:ss[.SSS]XXX", "Z"), ("yyyy-MM-dd H:mm:ssXXX", " 00:00:00Z")]
+DAY = 86_400_000
 #: A time alone belongs to the year 0; Spark takes it as 1970.
 YEAR_ZERO_MS = 62_167_219_200_000
-NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"^[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
 _PY_DATE = re.compile(r"^(\d{4})-(\d\d)-(\d\d)(?:([ T])(\d{1,2}):(\d\d):(\d\d)(?:[.,](\d+))?(Z|[+-]\d\d:\d\d)?)?$")
 _PY_TIME = re.compile(r"^(\d{1,2}):(\d\d):(\d\d)(?:[.,](\d+))?$")
 
 
 def date_millis(text: Column) -> Column:
     """Milliseconds since 1970 of a date string, else null."""
-    full = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
-    clock = F.unix_millis(F.try_to_timestamp(text, F.lit("H:mm:ss[.SSS]"))) - YEAR_ZERO_MS
+    full = F.coalesce(*[F.try_to_timestamp(F.concat(text, F.lit(zone)), F.lit(f)) for f, zone in DATE_FORMATS])
+    clock = F.unix_millis(F.try_to_timestamp(F.concat(F.lit("1970-01-01 "), text, F.lit("Z")), F.lit("yyyy-MM-dd H:mm:ss[.SSS]XXX"))) - YEAR_ZERO_MS
     ms = F.when(F.substring(text, 5, 1) == "-", F.unix_millis(full)).otherwise(clock)
     return F.when(F.octet_length(text).between(8, 35) & text.rlike("^[0-9]") & text.rlike("^[0-9:T +.Z-]+$"), ms)
 
 
+def utc_text(ms: Column, between: str, end: str = "", always: bool = False) -> Column:
+    """Milliseconds as date and time in UTC, whatever the session's zone. always: with .000 too."""
+    day = F.floor(ms / DAY)
+    rest = (ms - day * DAY).cast("long")
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    date = F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")).cast("string")
+    milli = F.concat(F.lit("."), F.lpad((rest % 1000).cast("string"), 3, "0"))
+    tail = milli if always else F.when(rest % 1000 > 0, milli).otherwise("")
+    return F.concat(date, F.lit(between), two(rest / 3_600_000), F.lit(":"), two(rest / 60_000 % 60), F.lit(":"), two(rest / 1000 % 60), tail, F.lit(end))
+
+
+def truncated(ms: Column, unit: str) -> Column:
+    """Milliseconds at which the year, month, week (from Monday), day, hour or minute began in UTC."""
+    if unit in ("year", "month"):
+        date = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / DAY).cast("int"))
+        return F.unix_date(F.trunc(date, unit)).cast("long") * DAY
+    size, shift = {"week": (7 * DAY, 3 * DAY), "hour": (3_600_000, 0), "minute": (60_000, 0)}.get(unit, (DAY, 0))
+    return (F.floor((ms + shift) / size) * size - shift).cast("long")
+
+
 def string_number(text: Column) -> Column:
     return F.coalesce(date_millis(text).cast("double"), F.when(text.rlike(NUMBER), text.try_cast("double")))
 
@@ -105,6 +127,7 @@ class Values:
     kind: str
     many: bool
     flags: bool = False  # json literals of a boolean field
+    zone: str = ""  # of times: ltz (a moment), ntz (without a zone, taken as UTC) or date
 
     def _each(self, f: Callable[[Column], Column]) -> Column:
         return F.transform(self.raw, f) if self.many else f(self.raw)
@@ -117,12 +140,12 @@ class Values:
 
     def _string(self, x: Column) -> Column:
         if self.kind == "time":
-            return F.regexp_replace(F.date_format(x, "yyyy-MM-dd HH:mm:ss.SSS"), r"\.000$", "")
+            return utc_text(self._millis(x), " ")
         return number_string(x.cast("double")) if self.kind == "double" else x.cast("string")
 
     def _number(self, x: Column) -> Column:
         if self.kind == "time":
-            return F.unix_millis(x.cast("timestamp")).cast("double")
+            return self._millis(x).cast("double")
         if self.kind == "bool":
             return x.cast("int").cast("double")
         if self.kind in ("string", "json"):
@@ -130,6 +153,23 @@ class Values:
             return F.when(x == "true", 1.0).when(x == "false", 0.0).otherwise(n) if self.flags else n
         return x.cast("double")
 
+    def _millis(self, x: Column) -> Column:
+        """Of a stored time; those without a zone are taken as UTC, not as the session's."""
+        if self.zone == "date":
+            return F.unix_date(x).cast("long") * DAY
+        if self.zone == "ntz":
+            second = F.floor(F.date_part(F.lit("SECOND"), x) * 1000).cast("long")
+            return F.unix_date(x.cast("date")).cast("long") * DAY + F.hour(x) * 3_600_000 + F.minute(x) * 60_000 + second
+        return F.unix_millis(x)
+
+    def moment(self, micros: int) -> Column | None:
+        """A literal that a stored time can be compared with as it is; None if there is none."""
+        try:
+            at = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=micros)
+        except OverflowError:
+            return None
+        return F.expr(f"timestamp_ntz'{at.isoformat(sep=' ')}'") if self.zone == "ntz" else F.timestamp_micros(F.lit(micros)) if self.zone == "ltz" else None
+
     def numbers(self) -> Column:
         """Numbers, null where a value has none; an array if there are many values."""
         return self._each(self._number)
@@ -137,7 +177,7 @@ class Values:
     def millis(self) -> Column:
         """Dates as milliseconds; only strings and times have them."""
         if self.kind == "time":
-            return self._each(lambda x: F.unix_millis(x.cast("timestamp")))
+            return self._each(self._millis)
         if self.kind in ("string", "json"):
             return self._each(date_millis)
         return self._each(lambda x: F.lit(None).cast("long"))
@@ -165,3 +205,7 @@ def kind_of(t: T.DataType) -> str | None:
     if isinstance(t, T.IntegralType):
         return "long"
     return "double" if isinstance(t, T.NumericType) else None
+
+
+def zone_of(t: T.DataType) -> str:
+    return "ltz" if isinstance(t, T.TimestampType) else "ntz" if isinstance(t, T.TimestampNTZType) else "date" if isinstance(t, T.DateType) else ""

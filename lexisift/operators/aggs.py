@@ -8,6 +8,7 @@ multi-valued metric fields are reduced within their row first, so that no level
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import option, py_number, py_string, py_text
+from ..functions.values import option, py_number, py_string, py_text, truncated, utc_text
 from ..plans.compiler import QueryError
 
 METRICS = ("min", "max", "avg", "sum", "stats", "value_count", "cardinality")
@@ -178,7 +179,7 @@ class Tree:
         else:
             x, many = self._at("d", path)
             unit = UNITS.get(next((py_text(n.body.get(k)) for k in ("calendar_interval", "fixed_interval", "interval") if py_text(n.body.get(k))), ""), "day")
-            f = lambda v: F.unix_millis(F.date_trunc(unit, F.timestamp_millis(v)))
+            f = lambda v: truncated(v, unit)
         return (F.array_distinct(F.transform(F.array_compact(x), f)), True) if many else (f(x), False)
 
     def _grouped(self, n: Node, rows: DataFrame, keys: list[str], metrics: list[Node], below: list[Node]) -> None:
@@ -197,7 +198,7 @@ class Tree:
             df = df.orderBy(*keys, *self._order(n, label))
         out = df
         if n.kind == "date_histogram":
-            stamp = F.date_format(F.timestamp_millis(F.col(label)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+            stamp = utc_text(F.col(label), "T", "Z", always=True)
             out = df.select(*keys, F.col(label).alias("key"), stamp.alias("key_as_string"), "doc_count", *[c.name for c in metrics])
         else:
             out = df.select(*keys, F.col(label).alias("key"), "doc_count", *[c.name for c in metrics])
@@ -274,7 +275,7 @@ class Tree:
             if above is not None:  # below a bucket it shows all documents again, for each bucket
                 rows = rows.crossJoin(above)
         conditions = self._conditions(n)
-        label, columns, places = self._label(n, keys), [], []
+        label, columns, places, many = self._label(n, keys), [], [], []
         if not conditions:
             conditions = [("", F.lit(False), {})]
         flags = [f"__b{len(keys)}_{i}" for i in range(len(conditions))]
@@ -285,13 +286,18 @@ class Tree:
             for c in metrics:
                 m = self._metric(c, on)
                 if m is None:
-                    s = self._at("s", py_text(c.body.get("field")))[0]
-                    m = F.size(F.array_distinct(F.flatten(F.collect_set(F.when(on, s))))).cast("long")
-                columns.append(m.alias(f"__m{i}_{c.name}"))
+                    many.append((i, c))  # counted below, from rows of their own
+                else:
+                    columns.append(m.alias(f"__m{i}_{c.name}"))
                 own.append(F.col(f"__m{i}_{c.name}").alias(c.name))
             edges = [F.lit(more[e]).cast("double").alias(e) for e in ("from", "to") if n.kind == "range"] if more or n.kind != "range" else [F.lit(None).cast("double").alias(e) for e in ("from", "to")]
             places.append(F.struct(F.lit(i).alias("__i"), F.lit(key).alias("key"), *edges, F.col(f"__c{i}").alias("doc_count"), *own))
         df = (rows.groupBy(*keys) if keys else rows).agg(*columns)
+        for i, c in many:
+            name = f"__m{i}_{c.name}"
+            each = rows.filter(flags[i]).select(*keys, F.explode(self._at("s", py_text(c.body.get("field")))[0]).alias("__v"))
+            each = (each.groupBy(*keys) if keys else each).agg(F.count_distinct("__v").alias(name))
+            df = self._left(df, each, keys).withColumn(name, F.coalesce(name, F.lit(0)).cast("long")) if keys else df.crossJoin(F.broadcast(each))  # one row: no groups
         df = df.select(*keys, F.explode(F.array(*places)).alias("__b")).select(*keys, "__b.*").orderBy(*keys, "__i").drop("__i")
         if n.kind == "range" and not (n.body.get("ranges") or []):
             df = df.limit(0)
@@ -307,6 +313,8 @@ class Tree:
 def _edge(x: float | None) -> str:
     if x is None:
         return "*"
+    if math.isinf(x):
+        return "+Inf" if x > 0 else "-Inf"
     return f"{x:.1f}" if x == int(x) else _shortest(x)
 
 

@@ -10,6 +10,7 @@ aggregate that gives one row, whatever the table holds.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -23,6 +24,8 @@ from .schema import Index
 
 K1, B = 1.2, 0.75
 POSTING_BYTES = 1024
+#: Spellings of a keyword that are looked up as they are stored; beyond it, rows are folded one by one.
+VARIANTS = 1000
 
 
 class QueryError(ValueError):
@@ -67,9 +70,31 @@ class Context:
         self.joined: dict[str, str] = {}
         self.aggregates: dict[str, tuple[str, Column]] = {}
         self.fuzzy: dict[tuple, str] = {}
+        self.known: dict[tuple[str, str], list[str] | None] = {}
 
     # --- registered columns
 
+    def stored(self, path: str, v: Values, values: list[str]) -> None:
+        """Finds what the column of a keyword holds of these strings: each itself, or else those that are equal when folded (None: more than VARIANTS).
+
+        A scan of that column, which the reader prunes, and a second one for strings that aren't stored; once a request.
+        """
+        new = [x for x in dict.fromkeys(values) if (path, x) not in self.known]
+        if not new:
+            return
+        column = self.index.df.select(v.raw.alias("x"))
+        found = {r["x"] for r in column.filter(F.col("x").isin([x for x in new if len(x.encode()) <= POSTING_BYTES])).distinct().collect()}  # at most a row for each string
+        rest = {x: A.py_normalize(x) for x in new if x not in found}
+        alike, many = {}, False
+        if rest:
+            folded = A.normalize(F.col("x"))
+            rows = column.filter(folded.isin(list(set(rest.values()))) & (F.octet_length("x") <= POSTING_BYTES)).distinct().limit(VARIANTS + 1).select("x", folded.alias("f")).collect()
+            for r in rows if len(rows) <= VARIANTS else ():
+                alike.setdefault(r["f"], []).append(r["x"])
+            many = len(rows) > VARIANTS
+        for x in new:
+            self.known[path, x] = [x] if x in found else None if many else sorted(alike.get(rest[x], []))
+
     def tokens(self, path: str) -> Column | None:
         """The terms of a text or keyword field; nulls separate the values of a text."""
         v = self.index.posted(path)
@@ -256,6 +281,11 @@ def keyword_equals(ctx: Context, path: str, value: str, boost: float = 1.0) -> C
     if v is None:
         return nothing()
     posted = len(value.encode()) <= POSTING_BYTES
+    if v.kind == "string" and not v.many:
+        ctx.stored(path, v, [value])
+        if (held := ctx.known[path, value]) is not None:
+            return Clause.of(v.raw == held[0] if len(held) == 1 else v.raw.isin(held) if held else F.lit(False), boost)
+        return Clause.of((A.normalize(v.raw) == A.py_normalize(value)) & (F.octet_length(v.raw) <= POSTING_BYTES), boost)
     exact = v.any(lambda _, s: s == value, number=False) if posted else F.lit(False)
     fold = v.any(lambda _, s: (A.normalize(s) == A.py_normalize(value)) & (F.octet_length(s) <= POSTING_BYTES), number=False)
     found = ctx.stat(f"has:{path}:{value}", F.coalesce(F.bool_or(exact), F.lit(False)))
@@ -279,26 +309,24 @@ def term_filter(ctx: Context, path: str, value, boost: float = 1.0) -> Clause:
     if want is not None and not v.many:  # a comparison that the reader understands
         if v.kind in ("long", "double"):
             return Clause.of(v.raw == (F.lit(int(want)) if want.is_integer() and abs(want) < 2**53 else F.lit(want)), boost)
-        if v.kind == "time" and isinstance(value, str):
-            at = F.timestamp_millis(F.lit(int(want)))
-            return Clause.of((v.raw >= at) & (v.raw < at + F.expr("interval 1 millisecond")), boost)
+        if v.kind == "time" and isinstance(value, str) and math.isfinite(want):
+            at, end = v.moment(int(want) * 1000), v.moment((int(want) + 1) * 1000)
+            if at is not None and end is not None:
+                return Clause.of((v.raw >= at) & (v.raw < end), boost)
     return Clause.of(v.any(lambda n, s: ((n == want) | (s == text)) if want is not None else s == text, number=want is not None), boost)
 
 
 def in_range(v: Values, bounds: dict[str, object]) -> Column:
     """Whether a value meets all bounds: as numbers where both sides have one, else as strings."""
     compare = {"gte": lambda a, b: a >= b, "gt": lambda a, b: a > b, "lte": lambda a, b: a <= b, "lt": lambda a, b: a < b}
-    if not v.many and v.kind in ("long", "double", "time") and all(py_number(b) is not None for b in bounds.values()):
-        tests = []
-        for k, b in bounds.items():
-            n = py_number(b)
-            if v.kind == "time":
-                # stored times are finer than a millisecond; they compare by their milliseconds
-                at = F.timestamp_micros(F.lit(round(n * 1000)))
-                tests.append(v.raw >= at + F.expr("interval 1 millisecond") if k == "gt" else v.raw < at + F.expr("interval 1 millisecond") if k == "lte" else compare[k](v.raw, at))
-            else:
-                tests.append(compare[k](v.raw, F.lit(int(n)) if n.is_integer() and abs(n) < 2**53 else F.lit(n)))
-        return _all(tests)
+    numbers = [py_number(b) for b in bounds.values()]
+    if not v.many and v.kind in ("long", "double") and None not in numbers:
+        return _all([compare[k](v.raw, F.lit(int(n)) if n.is_integer() and abs(n) < 2**53 else F.lit(n)) for k, n in zip(bounds, numbers)])
+    if not v.many and v.kind == "time" and None not in numbers and all(map(math.isfinite, numbers)):
+        # stored times are finer than a millisecond; they compare by their milliseconds
+        at = [v.moment(round(n * 1000) + (1000 if k in ("gt", "lte") else 0)) for k, n in zip(bounds, numbers)]
+        if None not in [x if x is None else 0 for x in at]:
+            return _all([v.raw >= x if k in ("gte", "gt") else v.raw < x for k, x in zip(bounds, at)])
     if not v.many and v.kind == "string" and not any(py_number(b) is not None for b in bounds.values()):
         return _all([compare[k](v.raw, F.lit(py_string(b))) for k, b in bounds.items()])
 
@@ -552,6 +580,9 @@ def _term(ctx, body):
 def _terms(ctx, body):
     for path, values in body.items():
         if path != "boost" and isinstance(values, list):
+            own = ctx.index.posted(path) if ctx.index.type(path) == "keyword" else None
+            if own is not None and own.kind == "string" and not own.many:
+                ctx.stored(path, own, [py_string(v) for v in values])
             parts = [term_filter(ctx, path, v) for v in values]
             exact = all(p.exact for p in parts)
             return Clause.of(_any(p.bare() if exact else p.match for p in parts), 1, plain=exact)
@@ -597,7 +628,7 @@ def _fuzzy(ctx, body):
 
 def _ids(ctx, body):
     values = body.get("values")
-    return Clause.of(F.col("_id").isin([py_string(v) for v in values])) if isinstance(values, list) and values else nothing()
+    return Clause.of(ctx.index.has_id(values)) if isinstance(values, list) and values else nothing()
 
 
 def _constant(ctx, body):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import Values, kind_of
+from ..functions.values import Values, kind_of, py_string, zone_of
 
 LONGS = {"long", "integer", "short", "byte", "unsigned_long"}
 DOUBLES = {"double", "float", "half_float", "scaled_float"}
@@ -76,7 +76,7 @@ def paths_of(schema: T.StructType) -> dict[str, Values]:
                     child, deep = F.flatten(F.filter(child, lambda x: x.isNotNull())), deep.elementType
                 walk(f"{path}.{f.name}", child, deep, many)
         elif kind := kind_of(t):
-            out[path] = Values(F.filter(raw, lambda x: x.isNotNull()) if many else raw, kind, many)
+            out[path] = Values(F.filter(raw, lambda x: x.isNotNull()) if many else raw, kind, many, zone=zone_of(t))
 
     for f in schema.fields:
         walk(f.name, F.col("`" + f.name.replace("`", "``") + "`"), f.dataType, False)
@@ -87,7 +87,8 @@ def paths_of(schema: T.StructType) -> dict[str, Values]:
 class Index:
     """One searchable table. df has `_id` (string) and either typed columns or, in JSON mode, `_source` and `_values`.
 
-    properties: the mapping. stored: the values of typed paths; None in JSON mode.
+    properties: the mapping. stored: the values of typed paths; None in JSON mode. key: the column that `_id` is made of.
+    lists: inverted index tables by text field, which searches read instead of the texts.
     """
 
     name: str
@@ -95,6 +96,8 @@ class Index:
     properties: dict
     stored: dict[str, Values] | None = None
     settings: dict = field(default_factory=dict)
+    key: str | None = None
+    lists: dict = field(default_factory=dict)
 
     def __post_init__(self):
         self.types = leaves(self.properties)
@@ -116,6 +119,17 @@ class Index:
     def type(self, path: str) -> str:
         return self.types.get(path, "")
 
+    def has_id(self, ids: list) -> Column:
+        """Whether a row has one of the ids. They are compared as the stored type, so that the reader knows them; one that no stored value is written as matches nothing."""
+        texts = list(dict.fromkeys(map(py_string, ids)))
+        kind = self.df.schema[self.key].dataType if self.key in self.df.columns else None
+        if isinstance(kind, T.IntegralType):
+            bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32}.get(type(kind), 64)
+            own = [int(t) for t in texts if t.lstrip("-").isascii() and t.lstrip("-").isdigit() and str(int(t)) == t and -(1 << bits - 1) <= int(t) < 1 << bits - 1]
+            return F.col(f"`{self.key}`").isin(own) if own else F.lit(False)
+        column = F.col(f"`{self.key}`") if isinstance(kind, T.StringType) else F.col("_id")
+        return column.isin(texts) if texts else F.lit(False)
+
     def values(self, path: str) -> Values | None:
         """The values stored under exactly this path."""
         if self.json:

@@ -11,7 +11,7 @@ import time
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import valid_name
@@ -102,13 +102,13 @@ def sequence(ops: DataFrame, start: int = 0) -> DataFrame:
 def latest(log: DataFrame) -> DataFrame:
     """The snapshot of a log of puts and deletes: the last operation of each id wins, and deleted ids are gone.
 
-    One aggregate with partial results before its shuffle; _version counts the puts since the last delete.
+    Puts behind the last delete of their id are aggregated with partial results; _version counts them. Only deletes are joined to them.
     """
-    key = F.struct("seq", "op", "src")
-    last_del = F.max(F.when(F.col("op") == "del", F.col("seq")))
-    held = log.groupBy("_index", "id").agg(F.max(key).alias("last"), last_del.alias("gone"), F.collect_list(F.when(F.col("op") == "put", F.col("seq"))).alias("puts"))
-    version = F.size(F.filter("puts", lambda s: s > F.coalesce("gone", F.lit(-1)))).cast("long")
-    return held.filter("last.op = 'put'").select("_index", F.col("id").alias("_id"), version.alias("_version"), F.col("last.seq").alias("_seq_no"), F.col("last.src").alias("_source"))
+    gone = log.filter("op = 'del'").groupBy(F.col("_index").alias("__i"), F.col("id").alias("__d")).agg(F.max("seq").alias("__gone"))
+    puts = log.filter("op = 'put'").join(gone, (F.col("_index") == F.col("__i")) & (F.col("id") == F.col("__d")), "left")
+    puts = puts.filter(F.col("__gone").isNull() | (F.col("seq") > F.col("__gone")))
+    held = puts.groupBy("_index", "id").agg(F.max(F.struct("seq", "src")).alias("last"), F.count(F.lit(1)).alias("_version"))
+    return held.select("_index", F.col("id").alias("_id"), "_version", F.col("last.seq").alias("_seq_no"), F.col("last.src").alias("_source"))
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -177,10 +177,14 @@ def items(applied: DataFrame) -> DataFrame:
     return applied.filter("op <> 'base'").select("seq", "op", "_index", "_id", "status", "result", "error")
 
 
+def changes(applied: DataFrame, unseen: bool = False) -> DataFrame:
+    """What operations changed, as puts and deletes. unseen: there may be documents that they weren't applied to, so deletes of missing ones count."""
+    changed = applied.filter("op <> 'base' and error is null" + ("" if unseen else " and result <> 'not_found'"))
+    return changed.select("_index", "seq", F.when(F.col("op") == "delete", "del").otherwise("put").alias("op"), F.col("_id").alias("id"), F.col("_source").alias("src"))
+
+
 def append_log(applied: DataFrame, path: str) -> None:
-    """What operations changed, as puts and deletes."""
-    changed = applied.filter("op <> 'base' and error is null and result <> 'not_found'")
-    changed.select("_index", "seq", F.when(F.col("op") == "delete", "del").otherwise("put").alias("op"), F.col("_id").alias("id"), F.col("_source").alias("src")).write.mode("append").parquet(path)
+    changes(applied).write.mode("append").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -188,8 +192,18 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_log(spark: SparkSession, path: str, index: str) -> DataFrame:
-    """A log of JSON lines {"op", "id", "src"}; lines that can't be read are skipped. The order is that of file and line."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), F.from_json("value", "op string, id string").alias("x"), F.get_json_object("value", "$.src").alias("src"))
+    """A log of JSON lines {"op", "id", "src"}; lines that can't be read are skipped.
+
+    The order is that of the files' paths and of the lines in them: seq is the number of the split (a part of a file, by path and place) and the line in it,
+    whatever order the splits are read in.
+    """
+    place = [F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b")]
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # rises within a split
+    lines = spark.read.text(path).select("value", *place, row.alias("__r"))
+    splits = spark.read.text(path).select(*place).distinct()  # a row for each split
+    splits = splits.select(F.col("__f").alias("__f2"), F.col("__b").alias("__b2"), F.row_number().over(Window.orderBy("__f", "__b")).cast("long").alias("__n"))
+    lines = lines.join(splits, (F.col("__f") == F.col("__f2")) & (F.col("__b") == F.col("__b2")))
+    lines = lines.select((F.shiftleft("__n", 33) + F.col("__r")).alias("seq"), F.from_json("value", "op string, id string").alias("x"), F.get_json_object("value", "$.src").alias("src"))
     return lines.filter("x.op in ('put', 'del') and x.id is not null and (x.op = 'del' or src is not null)").select(F.lit(index).alias("_index"), "seq", "x.op", "x.id", "src")
 
 

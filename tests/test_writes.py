@@ -1,5 +1,7 @@
 """Bulk requests, partial updates, logs, persistence and the stream of operations."""
 
+import json
+
 import pytest
 
 from lexisift.engine import Engine
@@ -8,11 +10,11 @@ from lexisift.streaming.ingest import stream_log
 
 BULK = """
 {"index":{"_id":"1"}}
-{"title":"ciao","meta":{"views":1},"n":1.50}
+{"title":"Harbour","stats":{"reads":7},"n":1.50}
 {"create":{"_id":"1"}}
 {"title":"again"}
 {"update":{"_id":"1"}}
-{"doc":{"meta":{"views":2,"by":null}}}
+{"doc":{"stats":{"reads":8,"by":null}}}
 {"update":{"_id":"9"}}
 {"doc":{"a":1}}
 {"update":{"_id":"2"}}
@@ -42,9 +44,9 @@ def test_bulk_items(bulked):
 def test_state_after_bulk(bulked):
     e, _ = bulked
     got = {r["_id"]: (r["_version"], r["_source"]) for r in e.snapshots["posts"].collect()}
-    assert got == {"1": (2, '{"meta":{"by":null,"views":2},"n":1.50,"title":"ciao"}'), "2": (1, '{"a":2}')}
-    assert e.search("posts", {"query": {"term": {"meta.views": 2}}}).hits.collect()[0]["_id"] == "1"
-    assert e.search("posts", {"query": {"exists": {"field": "meta"}}}).total == 1 and e.search("posts", {"query": {"exists": {"field": "meta.by"}}}).total == 0
+    assert got == {"1": (2, '{"n":1.50,"stats":{"by":null,"reads":8},"title":"Harbour"}'), "2": (1, '{"a":2}')}
+    assert e.search("posts", {"query": {"term": {"stats.reads": 8}}}).hits.collect()[0]["_id"] == "1"
+    assert e.search("posts", {"query": {"exists": {"field": "stats"}}}).total == 1 and e.search("posts", {"query": {"exists": {"field": "stats.by"}}}).total == 0
 
 
 def test_malformed_action_after_others(spark):
@@ -55,9 +57,9 @@ def test_malformed_action_after_others(spark):
 
 
 def test_dynamic_mapping():
-    doc = documents.parse('{"name":"test","qty":5,"price":1.5,"ok":true,"when":"2026-07-01 10:00:00","o":{"l":[{"x":1},{"x":2}],"e":[],"z":null}}')
+    doc = documents.parse('{"label":"crate","pieces":12,"weight":0.25,"sealed":false,"packed":"2025-03-09 18:30:00","o":{"l":[{"x":1},{"x":2}],"e":[],"z":null}}')
     flat = documents.flatten(doc)
-    assert {p: documents.kind_of(v[0]) for p, v in flat.items()} == {"name": "text", "qty": "long", "price": "double", "ok": "boolean", "when": "date", "o.l.x": "long"}
+    assert {p: documents.kind_of(v[0]) for p, v in flat.items()} == {"label": "text", "pieces": "long", "weight": "double", "sealed": "boolean", "packed": "date", "o.l.x": "long"}
     assert flat["o.l.x"] == ["1", "2"]
 
 
@@ -74,7 +76,7 @@ def test_persistence(spark, tmp_path, bulked):
     e = Engine(spark)
     e.load(f"file://{tmp_path}/store", ["posts"])
     assert e.mapping("posts") == bulked[0].mapping("posts")
-    assert e.search("posts", {"query": {"match": {"title": "CIAO"}}}).hits.collect()[0]["_id"] == "1"
+    assert e.search("posts", {"query": {"match": {"title": "HARBOUR"}}}).hits.collect()[0]["_id"] == "1"
 
 
 def test_log(spark, tmp_path):
@@ -110,6 +112,39 @@ def test_stream(spark, tmp_path):
     assert [(r["_id"], r["_version"], r["_source"]) for r in got] == [("1", 2, '{"v":2}')]
 
 
+def test_json_log_of_several_files(spark, tmp_path):
+    """The second file is read first, as it is larger, and the first in two splits; what is written last wins all the same."""
+    filler = "\n".join(json.dumps({"op": "put", "id": f"f{i}", "src": {"i": i}}) for i in range(3000))
+    (tmp_path / "a.jsonl").write_text('{"op":"put","id":"x","src":{"v":"old"}}\n{"op":"put","id":"y","src":{"v":1}}\n' + filler[: len(filler) // 3].rpartition("\n")[0] + '\n{"op":"del","id":"y"}\n{"op":"put","id":"y","src":{"v":2}}\n')
+    (tmp_path / "b.jsonl").write_text(filler + '\n{"op":"put","id":"x","src":{"v":"new"}}\n{"op":"del","id":"f7"}\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {r["_id"]: (r["_version"], r["_source"]) for r in oplog.latest(oplog.read_json_log(spark, f"file://{tmp_path}/*.jsonl", "a")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got["x"] == (2, '{"v":"new"}') and got["y"] == (1, '{"v":2}') and "f7" not in got and len(got) == 3001
+
+
+def test_stream_of_creates_updates_and_requests(spark, tmp_path):
+    schema = "_index string, request long, ordinal long, op string, id string, doc string, upsert string"
+    src, log, items = (f"file://{tmp_path}/{x}" for x in ("src", "log", "items"))
+    batches = [
+        [("a", 2, 0, "index", "1", '{"v":"later"}', None), ("a", 1, 0, "index", "1", '{"v":"sooner"}', None), ("a", 1, 1, "create", "2", '{"n":1}', None), ("a", 2, 1, "create", "2", '{"n":9}', None)],
+        [("a", 3, 0, "update", "2", '{"m":2}', None), ("a", 3, 1, "create", "1", "{}", None), ("a", 4, 0, "update", "9", "{}", None), ("a", 4, 1, "update", "3", "{}", '{"up":1}')],
+        [("a", 5, 0, "delete", "1", None, None), ("a", 5, 1, "delete", "8", None, None)],
+    ]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).repartition(3).write.mode("append").json(src)
+        stream_log(spark.readStream.schema(schema).json(src), log, f"file://{tmp_path}/cp", items=items).awaitTermination()
+    got = {r["_id"]: (r["_version"], r["_source"]) for r in oplog.latest(oplog.read_log(spark, log)).collect()}
+    assert got == {"2": (2, '{"m":2,"n":1}'), "3": (1, '{"up":1}')}
+    said = [(r["batch"], r["_id"], r["op"], r["status"]) for r in spark.read.parquet(items).orderBy("batch", "_id", "seq").collect()]
+    assert said == [
+        (0, "1", "index", 201), (0, "1", "index", 200), (0, "2", "create", 201), (0, "2", "create", 409), (1, "1", "create", 409), (1, "2", "update", 200), (1, "3", "update", 200), (1, "9", "update", 404), (2, "1", "delete", 200), (2, "8", "delete", 404),
+    ]
+
+
 def test_delete_by_query_and_typed_tables(spark):
     e = Engine(spark)
     e.register("t", spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, s string"), "id")

@@ -7,14 +7,17 @@ MIN_WORDS words, its lines are deleted, with the blank lines after each. Overlap
 1. Lines that occur once end any run. They cut the documents into segments; only the segments go on.
 2. Prefix doubling. A suffix's rank is (hash of its first line, offset among the suffixes with that line). In a round with
    prefixes of c lines, seven more ranks at distances c, 2c ... 7c (read within the document) order the suffixes of
-   a group, which doubles the prefix three times in one shuffle. A suffix that ends leaves the sorting. It stops when no group with
-   longer suffixes is left: after log8 of the longest repeated run.
+   a group, which doubles the prefix three times in one round. A suffix that ends leaves the sorting. It stops when no group with
+   longer suffixes is left: after log8 of the longest repeated run. What is sorted are the different continuations with their counts (partial
+   sums before the shuffle), first by the next rank and then within it, and their ranks are joined to the suffixes: a hot line with hot followers is a few rows.
 3. Equal suffixes are one from here on: all but the first are copies up to their end. This also takes hot lines out.
 4. LCP. Neighbours in suffix order that were in one group in the round for c lines, and no longer for 8c, have a common prefix of c to
    8c lines. Where also the lines before them agree, the value is that of the suffix before, less one; only the others
    (whose lengths add up to n log n at most) are compared line by line.
-5. LCP intervals. One pass with a stack over the suffixes of a first line gives each the longest interval in which an earlier
-   suffix lies: the longest run from there that has occurred before.
+5. LCP intervals. A pass with a stack upwards and one downwards over the suffixes of a first line give each the longest interval in which an earlier
+   suffix lies: the longest run from there that has occurred before. Both read sorted rows one after the other and hold only the stack.
+
+Steps 4 and 5 take the classes of step 3 of one first line in one task: one row for each different repeated continuation of the line, however often it occurs.
 
 Defined results
 - null or empty text, null id: the row stays as it is and isn't the source of anything.
@@ -28,10 +31,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import col, cut, spare, table
 
@@ -50,12 +54,24 @@ def repeated_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.filter(col(doc_id).isNotNull() & col(text).isNotNull()).select(*_key(doc_id, text), F.transform(lines, lambda x: F.xxhash64(x)).alias("hs"))
     rows = rows.groupBy("d", "u").agg(F.first("hs").alias("hs"))
     rows = rows.select("d", "u", F.posexplode("hs").alias("pos", "h"))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n > 1").drop("n")
+    # counted by a partial aggregate and joined, so that the places of a hot line are never gathered
+    often = rows.groupBy(F.col("h").alias("h2")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = rows.join(often, F.col("h") == F.col("h2")).select("d", "u", "pos", "h")
     line = Window.partitionBy("d", "u").orderBy("pos")
     rows = rows.withColumn("seg", F.col("pos") - F.row_number().over(line))
     return rows.withColumn("rem", F.row_number().over(Window.partitionBy("d", "u", "seg").orderBy(F.desc("pos"))))
 
 
+def _places(tuples: DataFrame, names: list[str]) -> DataFrame:
+    """(h, off, t1, t2, same, place): how many suffixes of the group come before those with these continuations. tuples: a row for each different one, `same` times."""
+    first, rest = names[0], names[1:]
+    nexts = tuples.groupBy("h", "off", first).agg(F.sum("same").alias("m"))
+    nexts = nexts.withColumn("base", F.sum("m").over(Window.partitionBy("h", "off").orderBy(first)) - F.col("m")).drop("m")
+    own = Window.partitionBy("h", "off", first).orderBy(*[F.asc_nulls_first(n) for n in rest]).rowsBetween(Window.unboundedPreceding, 0)
+    tuples = tuples.withColumn("within", F.sum("same").over(own) - F.col("same"))
+    return tuples.join(nexts, ["h", "off", first]).select("h", "off", "t1", "t2", "same", (F.col("base") + F.col("within")).alias("place"))
+
+
 def suffix_ranks(rows: DataFrame) -> tuple[DataFrame, int]:
     """rows with `off` (order among suffixes with the same first line; equal suffixes are equal) and `offs` (those of each round), and the number of rounds."""
     # offsets are spread by two in each round, which leaves a place for the suffixes that end
@@ -65,10 +81,11 @@ def suffix_ranks(rows: DataFrame) -> tuple[DataFrame, int]:
     names = [f"k{j}" for j in range(1, FACTOR)]
     while state.filter((F.col("rem") > c)).limit(1).count():
         shifted = state.select("*", *[F.lead(F.struct("h", "off"), j * c).over(in_doc).alias(n) for j, n in enumerate(names, 1)])
-        group = Window.partitionBy("h", "off").orderBy(*[F.asc_nulls_first(n) for n in names])
-        going, ended = shifted.filter(F.col("rem") > c), state.filter(F.col("rem") <= c)
-        going = going.withColumn("new", 2 * F.col("off") + F.rank().over(group))
-        going = going.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("h", "off", *names)))
+        ended = state.filter(F.col("rem") <= c)
+        tag = [F.xxhash64(*names).alias("t1"), F.xxhash64(F.lit(1), *names).alias("t2")]
+        going = shifted.filter(F.col("rem") > c).select("*", *tag).drop(*names)
+        places = _places(shifted.filter(F.col("rem") > c).groupBy("h", "off", *names).agg(F.count(F.lit(1)).alias("same")).select("*", *tag), names)
+        going = going.join(places, ["h", "off", "t1", "t2"]).withColumn("new", 2 * F.col("off") + F.col("place") + 1)
         going = going.select("d", "u", "pos", "h", "seg", "rem", F.col("new").alias("off"), F.concat("offs", F.array("new")).alias("offs"), ((F.col("same") > 1) & (F.col("rem") > c * FACTOR)).alias("open"))
         ended = ended.select("d", "u", "pos", "h", "seg", "rem", (2 * F.col("off")).alias("off"), F.concat("offs", F.array(2 * F.col("off"))).alias("offs"), F.lit(False).alias("open"))
         state = cut(going.unionByName(ended))
@@ -111,58 +128,67 @@ def common_prefixes(ranks: DataFrame) -> DataFrame:
     return known.withColumn("l", last).select("h", "off", "d", "u", "pos", F.coalesce("own", F.col("l.own") - (F.col("pos") - F.col("l.pos"))).cast("int").alias("lcp"))
 
 
+class Sweep:
+    """A pass over suffixes in (falling or rising) suffix order: the longest prefix that one met before has whose place is earlier."""
+
+    def __init__(self):
+        self.stack: list[tuple] = []
+
+    def step(self, place, lcp: int) -> int:
+        """lcp: with the suffix before in the pass."""
+        stack, now, out = self.stack, lcp, 0
+        while stack and stack[-1][0] > place:
+            now = min(now, stack.pop()[1])
+        if stack:
+            out = now
+        stack.append((place, now))
+        return out
+
+
 def previous_lengths(order: list[int], lcp: list[int]) -> list[int]:
     """For suffixes in suffix order (order: their place in the text, lcp: with the one before): the longest prefix that an earlier one has."""
-    n = len(order)
-    out = [0] * n
-
-    def sweep(indices, step):
-        stack: list[tuple[int, int]] = []
-        for i in indices:
-            now = step(i)
-            while stack and stack[-1][0] > order[i]:
-                now = min(now, stack.pop()[1])
-            if stack:
-                out[i] = max(out[i], now)
-            stack.append((order[i], now))
-
-    sweep(range(n), lambda i: lcp[i])
-    sweep(range(n - 1, -1, -1), lambda i: lcp[i + 1] if i + 1 < n else 0)
+    up, down, n = Sweep(), Sweep(), len(order)
+    out = [up.step(x, k) for x, k in zip(order, lcp)]
+    for i in range(n - 1, -1, -1):
+        out[i] = max(out[i], down.step(order[i], lcp[i + 1] if i + 1 < n else 0))
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _previous(orders: pd.Series, lcps: pd.Series) -> pd.Series:
-    return pd.Series([previous_lengths(o.tolist(), x.tolist()) for o, x in zip(orders, lcps)])
+def _swept(lcps: DataFrame, rising: bool) -> DataFrame:
+    """(d, u, pos, n > 0) of one pass over (h, off, d, u, pos, lcp), the suffixes of a first line one after the other."""
+
+    def run(it):
+        line, sweep, before = None, Sweep(), 0
+        for data in it:
+            hs, ds, us, ps, ls = (data.column(c).to_pylist() for c in ("h", "d", "u", "pos", "lcp"))
+            out = []
+            for h, d, u, p, k in zip(hs, ds, us, ps, ls):
+                if h != line:
+                    line, sweep, before = h, Sweep(), 0
+                out.append(sweep.step((d, u, p), k if rising else before))
+                before = k
+            rows = np.flatnonzero(out)
+            if len(rows):
+                yield pa.record_batch([*(data.column(c).take(pa.array(rows)) for c in ("d", "u", "pos")), pa.array(np.array(out, dtype=np.int32)[rows])], names=["d", "u", "pos", "n"])
+
+    order = F.asc("off") if rising else F.desc("off")
+    rows = lcps.select("h", "off", "d", "u", "pos", "lcp").repartition("h").sortWithinPartitions("h", order)
+    return rows.mapInArrow(run, f"d {lcps.schema['d'].dataType.simpleString()}, u long, pos int, n int")
 
 
 def earlier_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, u, runs: (pos, n) of lines that have occurred before, none inside another)."""
     ranks, _ = suffix_ranks(repeated_lines(docs, doc_id, text))
     place = F.struct("d", "u", "pos")
-    lcps = common_prefixes(ranks)
-    held = lcps.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("off", "d", "u", "pos", "lcp"))).alias("x")).filter(F.size("x") > 1)
-    # places as numbers: their index in text order
-    held = held.select("x", F.transform("x", lambda r: r["lcp"]).alias("lcp"), F.transform(F.array_sort(F.transform("x", lambda r: F.struct(r["d"].alias("d"), r["u"].alias("u"), r["pos"].alias("pos"), r["off"].alias("off")))), lambda r: r["off"]).alias("by_place"), F.transform("x", lambda r: r["off"]).alias("by_rank"))
-    held = held.select("x", "lcp", _order("by_rank", "by_place").alias("order"))
-    reps = held.select(F.explode(F.arrays_zip("x", _previous("order", "lcp").alias("n"))).alias("z")).select("z.x.d", "z.x.u", "z.x.pos", F.col("z.n").alias("n"))
+    lcps = cut(common_prefixes(ranks))  # it is read by both passes
     classes = ranks.groupBy("h", "off").agg(F.min(place).alias("m"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     copies = ranks.join(classes, ["h", "off"]).filter(place != F.col("m")).select("d", "u", "pos", F.col("rem").alias("n"))
-    runs = reps.filter("n > 0").unionByName(copies)
+    runs = _swept(lcps, True).unionByName(_swept(lcps, False)).unionByName(copies)
     before = Window.partitionBy("d", "u").orderBy("pos", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("to", F.max(F.col("pos") + F.col("n")).over(before)).filter("to is null or pos + n > to")
     return runs.groupBy("d", "u").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("runs"))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _order(by_rank: pd.Series, by_place: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(by_rank, by_place):
-        at = {x: i for i, x in enumerate(b.tolist())}
-        out.append([at[x] for x in a.tolist()])
-    return pd.Series(out)
-
-
 def without_runs(text: str, runs: list[tuple[int, int]], min_words: int = MIN_WORDS) -> tuple[str | None, int]:
     """The text without the runs of at least min_words words (None if no line is left), and the number of lines deleted."""
     lines = text.split("\n")

@@ -69,3 +69,13 @@ def test_previous_lengths():
     for i in range(len(text)):
         want = max((k for j in range(i) for k in range(len(text) - i + 1) if text[j : j + k] == text[i : i + k] and len(text[i : i + k]) == k), default=0)
         assert got[i] == want
+
+
+def test_a_line_in_half_of_all_rows(spark):
+    """A line, and a passage of three, in 50 % of 40,000 documents: no task is much larger than the others."""
+    passage = "\n".join(f"licensed to anyone under the terms of part {k} of this text" for k in range(3))
+    hot = "all rights in this text are reserved to those who wrote it"
+    docs = [(i, f"own line of {i} with words of its own {i}\n{hot if i % 4 == 1 else passage}" if i % 2 else f"only own words here {i} {i} {i} a b c d") for i in range(40_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {i: t if i % 2 == 0 or i in (1, 3) else t.split("\n")[0] for i, t in docs}

@@ -4,7 +4,8 @@ Each paragraph is hashed to a vector of 32 lanes of 32 bits (SHA-256, expanded b
 SHA-256 of the digest with a counter); a document's fingerprint is the sum of the vectors modulo
 2**32 in each lane, 1024 bits. The order of paragraphs doesn't matter, their number does.
 Paragraphs are inserted and deleted by adding and subtracting (`insert`, `delete`) without the rest
-of the document. Everything is built from JVM expressions over one row; no paragraph is shuffled.
+of the document. Everything is built from JVM expressions over one row; no paragraph is shuffled. Copies are counted by a partial aggregate of the
+fingerprints, which are written to the shared folder once and read twice.
 
 A paragraph is a line, with runs of blanks as one space and no blanks at its ends; empty lines are none.
 
@@ -16,10 +17,10 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, table
+from .common import col, cut, table
 
 LANES = 32
 MODULUS = 1 << 32
@@ -76,10 +77,11 @@ def combine(*fps: Column) -> Column:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_paragraphs, fingerprint, n_copies, first_doc_id) for every row: rows with the same paragraphs in any order, and the least id among them."""
     out = docs.select(col(doc_id).alias("doc_id"), paragraphs(col(text)).alias("p")).select("doc_id", F.size("p").alias("n_paragraphs"), fingerprint(F.col("p")).alias("fingerprint"))
-    # documents without paragraphs aren't gathered in one place
-    same = Window.partitionBy("fingerprint", F.when(F.col("n_paragraphs") == 0, F.xxhash64("doc_id")))
-    some = F.col("n_paragraphs") > 0
-    return out.select("doc_id", "n_paragraphs", "fingerprint", F.when(some, F.count(F.lit(1)).over(same)).otherwise(0).alias("n_copies"), F.when(some, F.min("doc_id").over(same)).alias("first_doc_id"))
+    out = cut(out)  # it is read twice
+    # counted by a partial aggregate and joined, so that no group of copies is gathered; documents without paragraphs take no part
+    same = out.filter("n_paragraphs > 0").groupBy(F.col("fingerprint").alias("same")).agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("first_doc_id"))
+    out = out.join(same, (F.col("n_paragraphs") > 0) & (F.col("fingerprint") == F.col("same")), "left")
+    return out.select("doc_id", "n_paragraphs", "fingerprint", F.coalesce("n_copies", F.lit(0).cast("long")).alias("n_copies"), "first_doc_id")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from .functions import analysis
 from .operators.search import SearchResult, search
 from .plans.compiler import Context, compile_query
 from .plans.schema import Index, leaves, paths_of, typed_properties
-from .sources import documents, oplog
+from .sources import documents, oplog, postings
 from .sources.catalog import resolve, valid_name
 
 
@@ -40,6 +40,16 @@ class Engine:
         self.indices[name] = Index(name, df.withColumn("_id", F.col(f"`{id_col}`").cast("string")), properties, stored, key=id_col)
         return self.indices[name]
 
+    def attach(self, name: str, field: str, folder: str, build: bool = False) -> None:
+        """Let searches of a text field read its inverted index table in `folder` instead of the texts. build: write it first.
+
+        The table is that of the rows as they are; after a write or a delete the field's texts are read again.
+        """
+        x = self._one(name)
+        if build:
+            postings.build(x, field, folder)
+        x.lists[field] = postings.Postings(self.spark, folder)
+
     def create(self, name: str, mapping: dict | None = None, settings: dict | None = None) -> Index:
         """An empty JSON table."""
         if not valid_name(name):
@@ -222,6 +232,7 @@ class Engine:
                 self._refresh(x.name, x.properties, x.settings)
             else:
                 x.df = x.df.join(ids, x.df["_id"] == ids["__d"], "left_anti")
+                x.lists = {}
         return gone.agg(F.count(F.lit(1)).alias("deleted"))
 
     def _settled(self, df: DataFrame) -> DataFrame:

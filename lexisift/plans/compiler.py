@@ -5,7 +5,8 @@ applied to the scan itself, before any text is tokenized, so that they reach the
 
 What a clause needs beside the stored columns is registered in the Context: token arrays of text fields, made once a
 row, and statistics of the whole table (document frequencies, lengths, fuzzy candidates), made by one
-aggregate that gives one row, whatever the table holds.
+aggregate that gives one row, whatever the table holds. A text field with an inverted index table (Index.lists) isn't tokenized: its clauses
+are columns that are aggregated by document from the lists of the request's terms, and joined by id; the statistics come from those tables too.
 """
 
 from __future__ import annotations
@@ -70,6 +71,9 @@ class Context:
         self.joined: dict[str, str] = {}
         self.aggregates: dict[str, tuple[str, Column]] = {}
         self.fuzzy: dict[tuple, str] = {}
+        self.lists: dict[str, dict[tuple, tuple[str, Column, Column]]] = {}
+        self.near: dict[tuple, str] = {}
+        self.list_stats: dict[str, dict[str, tuple[str, Column]]] = {}
         self.known: dict[tuple[str, str], list[str] | None] = {}
 
     # --- registered columns
@@ -95,6 +99,9 @@ class Context:
         for x in new:
             self.known[path, x] = [x] if x in found else None if many else sorted(alike.get(rest[x], []))
 
+    def searchable(self, path: str) -> bool:
+        return self.index.type(path) in ("text", "keyword") and self.index.posted(path) is not None
+
     def tokens(self, path: str) -> Column | None:
         """The terms of a text or keyword field; nulls separate the values of a text."""
         v = self.index.posted(path)
@@ -104,10 +111,9 @@ class Context:
             self.arrays[path] = (f"{self.prefix}t{len(self.arrays)}", v)
         return F.col(self.arrays[path][0])
 
-    def text(self, path: str) -> Column | None:
+    def text(self, path: str) -> Column:
         """The tokens as one string, each between spaces; where values meet stands more than that."""
-        if self.tokens(path) is None:
-            return None
+        self.tokens(path)
         self.joined.setdefault(path, f"{self.prefix}j{len(self.joined)}")
         return F.col(self.joined[path])
 
@@ -120,8 +126,47 @@ class Context:
         """Map of the dictionary's terms within `most` edits of term (itself not among them) to (edits, document frequency)."""
         return F.col(self.fuzzy.setdefault((path, term, most), f"{self.prefix}f{len(self.fuzzy)}"))
 
+    def field(self, path: str) -> Field:
+        return ListField(self, path) if path in self.index.lists else Field(self, path)
+
+    def listed(self, path: str, key: tuple, terms: Column, value: Column) -> Column:
+        """A column by document: an aggregate over the rows of the field's lists; terms: which rows it is about."""
+        held = self.lists.setdefault(path, {})
+        held.setdefault(key, (f"{self.prefix}p{len(self.lists)}_{len(held)}", terms, value))
+        return F.col(held[key][0])
+
+    def list_stat(self, path: str, key: str, value: Column) -> Column:
+        """An aggregate of the whole lists of the request's terms (key: the term), or a column of the field's statistics."""
+        held = self.list_stats.setdefault(path, {})
+        held.setdefault(key, (f"{self.prefix}q{list(self.list_stats).index(path)}_{len(held)}", value))
+        return F.col(held[key][0])
+
+    def near_terms(self, path: str, term: str, most: int) -> Column:
+        """By document, the best score of the dictionary's terms within `most` edits of term, itself not among them."""
+        return F.col(self.near.setdefault((path, term, most), f"{self.prefix}e{len(self.near)}"))
+
     # --- frames
 
+    def with_lists(self, df: DataFrame) -> DataFrame:
+        """df with what was registered of the lists, joined by id. Where a match needs a term, Catalyst makes the join an inner one."""
+        own = f"{self.prefix}id"
+        for path, held in self.lists.items():
+            rows = self.index.lists[path].lists.filter(_any(terms for _, terms, _ in held.values()))
+            made = rows.groupBy(F.col("_id").alias(own)).agg(*[value.alias(name) for name, _, value in held.values()])
+            df = df.join(made, df["_id"] == made[own], "left").drop(own)
+        for (path, term, most), name in self.near.items():
+            p = self.index.lists[path]
+            edits = F.levenshtein(A.latin1(F.col("term")), F.lit(A.py_latin1(term)), most)
+            near = p.dictionary().withColumn("d", edits).filter((F.col("term") != term) & (F.col("d") > 0))
+            some = [r["term"] for r in near.select("term").limit(VARIANTS + 1).collect()]
+            rows = p.lists.filter(F.col("term").isin(some)) if len(some) <= VARIANTS else p.lists
+            rows = rows.select("term", "_id", "freq", "len").join(near, "term").crossJoin(F.broadcast(p.stats))  # stats is one row
+            mean = F.greatest(F.col("total") / F.greatest("n", F.lit(1)), F.lit(1.0))
+            score = _idf(F.col("n"), F.col("doc_freq")) * _bm25_weight(F.col("freq"), F.col("len"), mean) * (1 - 0.25 * F.col("d"))
+            made = rows.groupBy(F.col("_id").alias(own)).agg(F.max(F.when(score > 0, score)).alias(name))
+            df = df.join(made, df["_id"] == made[own], "left").drop(own)
+        return df
+
     def with_tokens(self, df: DataFrame) -> DataFrame:
         if not self.arrays:
             return df
@@ -145,13 +190,19 @@ class Context:
         df = self.index.df
         for p in plain:
             df = df.filter(p)
-        df = self.with_tokens(df)
+        df = self.with_lists(self.with_tokens(df))
         for stats in self.statistics():
             df = df.crossJoin(F.broadcast(stats))  # one row by construction: an aggregate without groups
         return df
 
     def statistics(self) -> list[DataFrame]:
         out = []
+        for path, held in self.list_stats.items():
+            p = self.index.lists[path]
+            terms = {k: x for k, x in held.items() if k not in ("n", "mean")}
+            if terms:
+                out.append(p.lists.filter(F.col("term").isin([k[1:] for k in terms])).agg(*[x.alias(name) for name, x in terms.values()]))
+            out.append(p.stats.select(*[x.alias(name) for k, (name, x) in held.items() if k not in terms]))
         if self.aggregates:
             out.append(self.with_tokens(self.index.df).agg(*[x.alias(name) for name, x in self.aggregates.values()]))
         for path in dict.fromkeys(p for p, _, _ in self.fuzzy):
@@ -171,6 +222,10 @@ class Context:
 # --- scoring
 
 
+def _bm25_weight(tf: Column, length: Column, mean: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
 def _idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
@@ -189,7 +244,21 @@ class Field:
         return F.coalesce(F.array_contains(self.tok, term), F.lit(False))
 
     def _weight(self, tf: Column) -> Column:
-        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.length / self.mean))
+        return _bm25_weight(tf, self.length, self.mean)
+
+    def prefixed(self, start: str) -> Column:
+        return self.ctx.text(self.path).contains(f" {start}")
+
+    def like(self, pattern: str) -> Column:
+        return A.latin1(self.ctx.text(self.path)).rlike("(?s)[ \n]" + A.glob_regex(pattern, "[^ \n]*", "[^ \n]") + "(?=[ \n])")
+
+    def adjacent(self, terms: list[str], prefix: bool) -> Column:
+        # each token stands between single spaces, so adjacent terms are a substring
+        return self.ctx.text(self.path).contains(" " + " ".join(terms) + ("" if prefix else " "))
+
+    def positions(self, term: str, prefix: bool) -> Column:
+        hit = (lambda x: x.startswith(term)) if prefix else (lambda x: x == term)
+        return F.filter(F.transform(self.tok, lambda x, i: F.when(hit(x), i).otherwise(-1)), lambda p: p >= 0)
 
     def bm25(self, term: str, boost: float) -> Column:
         df = self.ctx.stat(f"df:{self.path}:{term}", F.count_if(self.has(term)))
@@ -211,6 +280,54 @@ class Field:
         return Clause(score.isNotNull(), F.coalesce(score, F.lit(0.0)))
 
 
+class ListField(Field):
+    """BM25 over a text field's inverted index table: no text is read."""
+
+    def __init__(self, ctx: Context, path: str):
+        self.ctx, self.path = ctx, path
+        self.n_docs = ctx.list_stat(path, "n", F.col("n"))
+        self.mean = ctx.list_stat(path, "mean", F.greatest(F.col("total") / F.greatest("n", F.lit(1)), F.lit(1.0)))
+
+    @property
+    def length(self) -> Column:
+        return self.ctx.listed(self.path, ("len",), F.lit(False), F.max("len"))
+
+    def _of(self, term: str, what: str) -> Column:
+        own = F.col("term") == term
+        return self.ctx.listed(self.path, (what, term), own, F.max(F.when(own, F.col(what))))
+
+    def has(self, term: str) -> Column:
+        return self._of(term, "freq").isNotNull()
+
+    def bm25(self, term: str, boost: float) -> Column:
+        df = self.ctx.list_stat(self.path, f"={term}", F.count_if(F.col("term") == term))
+        return F.lit(float(boost)) * _idf(self.n_docs, df) * self._weight(self._of(term, "freq"))
+
+    def fuzzy(self, term: str, most: int, boost: float) -> Clause:
+        score = F.greatest(F.lit(float(boost)) * self.ctx.near_terms(self.path, term, most), F.when(self.has(term), self.bm25(term, boost)))
+        return Clause(score.isNotNull(), F.coalesce(score, F.lit(0.0)))
+
+    def prefixed(self, start: str) -> Column:
+        own = F.startswith(F.col("term"), F.lit(start))
+        return self.ctx.listed(self.path, ("prefix", start), own, F.count_if(own)) > 0
+
+    def like(self, pattern: str) -> Column:
+        own = A.latin1(F.col("term")).rlike(_regex_any(A.glob_regex(pattern, ".*", ".")))
+        return self.ctx.listed(self.path, ("like", pattern), own, F.count_if(own)) > 0
+
+    def positions(self, term: str, prefix: bool) -> Column:
+        if not prefix:
+            return self._of(term, "pos")
+        own = F.startswith(F.col("term"), F.lit(term))
+        return self.ctx.listed(self.path, ("places", term), own, F.flatten(F.collect_list(F.when(own, F.col("pos")))))
+
+    def adjacent(self, terms: list[str], prefix: bool) -> Column:
+        """A place of the first term at which the others follow one by one; the rows of documents with all of them."""
+        rest = [self.positions(t, prefix and k == len(terms) - 1) for k, t in enumerate(terms)]
+        follows = F.exists(rest[0], lambda p: _all(F.array_contains(x, p + k) for k, x in enumerate(rest[1:], 1)))
+        return _all(x.isNotNull() for x in rest) & F.coalesce(follows, F.lit(False))
+
+
 def fuzzy_distance(fuzziness: str, term: str) -> int:
     f = fuzziness.upper()
     if f in ("AUTO", "AUTO:3,6"):
@@ -266,9 +383,9 @@ def match_field(ctx: Context, path: str, text: str, operator: str = "or", fuzzin
         return nothing()
     if ctx.index.type(path) == "keyword":
         return keyword_equals(ctx, path, text, boost)
-    if ctx.tokens(path) is None:
+    if not ctx.searchable(path):
         return nothing()
-    f, parts = Field(ctx, path), []
+    f, parts = ctx.field(path), []
     for t in terms:
         most = fuzzy_distance(fuzziness, t) if fuzziness not in ("", "0") else 0
         parts.append(f.fuzzy(t, most, boost) if most else Clause(f.has(t), f.bm25(t, boost)))
@@ -298,10 +415,9 @@ def term_filter(ctx: Context, path: str, value, boost: float = 1.0) -> Clause:
     if kind == "keyword":
         return keyword_equals(ctx, path, text, boost)
     if kind == "text":
-        tok = ctx.tokens(path)
-        if tok is None:
+        if not ctx.searchable(path):
             return nothing()
-        return Clause.of(F.array_contains(tok, A.py_normalize(text)), boost, plain=False)
+        return Clause.of(ctx.field(path).has(A.py_normalize(text)), boost, plain=False)
     v = ctx.index.values(path)
     if v is None:
         return nothing()
@@ -348,15 +464,15 @@ def pattern_clause(ctx: Context, path: str, value, boost: float, wildcard: bool)
     pattern = py_string(value)
     folded, kind = A.py_normalize(pattern), ctx.index.type(path)
     if kind == "text":
-        text = ctx.text(path)
-        if text is None:
+        if not ctx.searchable(path):
             return nothing()
+        f = ctx.field(path)
         if wildcard:
-            tests = [A.latin1(text).rlike("(?s)[ \n]" + A.glob_regex(p, "[^ \n]*", "[^ \n]") + "(?=[ \n])") for p in dict.fromkeys((pattern, folded))]
+            tests = [f.like(p) for p in dict.fromkeys((pattern, folded))]
+        elif pattern:
+            tests = [f.prefixed(p) for p in dict.fromkeys((pattern, folded)) if " " not in p and "\n" not in p]
         else:
-            tests = [text.contains(f"{edge}{p}") for p in dict.fromkeys((pattern, folded)) if " " not in p and "\n" not in p for edge in (" ",)]
-            if not pattern:
-                tests = [F.size(ctx.tokens(path)) > 0]
+            tests = [F.size(ctx.tokens(path)) > 0]
         return Clause.of(_any(tests), boost, plain=False)
 
     def test(s: Column) -> Column:
@@ -373,9 +489,9 @@ def pattern_clause(ctx: Context, path: str, value, boost: float, wildcard: bool)
 
 def phrase_clause(ctx: Context, path: str, text: str, slop: int, boost: float, prefix: bool) -> Clause:
     terms = A.py_tokens(text)
-    if not terms or ctx.tokens(path) is None:
+    if not terms or not ctx.searchable(path):
         return nothing()
-    f = Field(ctx, path)
+    f = ctx.field(path)
     if len(terms) == 1 and not prefix:
         return Clause(f.has(terms[0]), f.bm25(terms[0], boost))
     keyword = ctx.index.type(path) == "keyword"
@@ -384,15 +500,13 @@ def phrase_clause(ctx: Context, path: str, text: str, slop: int, boost: float, p
     base = f.bm25(terms[0], boost)
     score = F.when(f.has(terms[0]) & (base != 0), base).otherwise(float(boost)) * len(terms)
     if len(terms) == 1:
-        m = F.exists(f.tok, lambda t: F.coalesce(t.startswith(terms[0]), F.lit(False))) if keyword else ctx.text(path).contains(f" {terms[0]}")
+        m = F.exists(f.tok, lambda t: F.coalesce(t.startswith(terms[0]), F.lit(False))) if keyword else f.prefixed(terms[0])
         return Clause(m, score)
     if slop <= 0:
-        # each token stands between single spaces, so adjacent terms are a substring
-        return Clause(ctx.text(path).contains(" " + " ".join(terms) + ("" if prefix else " ")), score)
+        return Clause(f.adjacent(terms, prefix), score)
 
     def positions(k: int) -> Column:
-        hit = (lambda x: x.startswith(terms[k])) if prefix and k == len(terms) - 1 else (lambda x: x == terms[k])
-        return F.filter(F.transform(f.tok, lambda x, i: F.when(hit(x), i).otherwise(-1)), lambda p: p >= 0)
+        return f.positions(terms[k], prefix and k == len(terms) - 1)
 
     rest = [positions(k) for k in range(1, len(terms))]
 
@@ -400,7 +514,7 @@ def phrase_clause(ctx: Context, path: str, text: str, slop: int, boost: float, p
         """The first position of each next term within the slop, in turn; null where there is none."""
         return F.aggregate(F.array(*rest), p, lambda acc, ps: F.array_min(F.filter(ps, lambda q: (q > acc) & (q <= acc + 1 + slop)))).isNotNull()
 
-    return Clause(_all(f.has(t) for t in terms[: -1 if prefix else None]) & F.exists(positions(0), reaches), score)
+    return Clause(_all(f.has(t) for t in terms[: -1 if prefix else None]) & F.coalesce(F.exists(positions(0), reaches), F.lit(False)), score)
 
 
 def field_boost(spec: str) -> tuple[str, float]:

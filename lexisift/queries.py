@@ -189,10 +189,12 @@ add("exists", _exists, "SELECT CAST(d.doc_id AS VARCHAR) AS _id, CAST(1.0 AS DOU
 
 # --- compounds
 
+FULL = {"bool": {"must": [{"match": {"text": "with"}}], "filter": [{"terms": {"lang.keyword": ["en", "fr"]}}, {"range": {"n_chars": {"gte": 200}}}], "should": [{"match": {"text": "the"}}, {"term": {"source.keyword": "src3"}}], "must_not": [{"range": {"n_chars": {"gt": 8000}}}], "boost": 2}}
+
 hits(
     "bool_full",
     "documents",
-    {"bool": {"must": [{"match": {"text": "with"}}], "filter": [{"terms": {"lang.keyword": ["en", "fr"]}}, {"range": {"n_chars": {"gte": 200}}}], "should": [{"match": {"text": "the"}}, {"term": {"source.keyword": "src3"}}], "must_not": [{"range": {"n_chars": {"gt": 8000}}}], "boost": 2}},
+    FULL,
     f"WITH {corpus('documents', 'text', ', lang, source, n_chars')} SELECT _id, round(({bm25('with')} + {part('the')} + CASE WHEN source = 'src3' THEN 1 ELSE 0 END) * 2, 6) AS score FROM d, s WHERE {has('with')} AND lang IN ('en', 'fr') AND n_chars >= 200 AND n_chars <= 8000",
 )
 hits(
@@ -332,26 +334,54 @@ def _analyze(spark: SparkSession, d: str) -> DataFrame:
 add("analyze", _analyze, f"SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS position, unnest(t) AS token FROM (SELECT doc_id, {tok('text')} AS t FROM documents)")
 
 
-def _terms_table(spark: SparkSession, d: str) -> DataFrame:
-    from .functions.analysis import tokens
+add("term_dictionary", lambda spark, d: text_postings(spark, d).dictionary(), f"WITH {DOC} SELECT term, count(*) AS doc_freq FROM (SELECT DISTINCT _id, unnest(t) AS term FROM d) GROUP BY term")
+
 
-    terms = read(spark, d, "documents").select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
+_BUILT: dict[tuple[str, str, str, str], str] = {}
 
 
-add("term_dictionary", _terms_table, f"WITH {DOC} SELECT term, count(*) AS doc_freq FROM (SELECT DISTINCT _id, unnest(t) AS term FROM d) GROUP BY term")
+def posted(spark: SparkSession, d: str, table: str, field: str) -> Engine:
+    """An engine with the inverted index of a text field of a whole table, built once a session, in the folder that executors share (a temporary one only where
+    none is set and there is one process)."""
+    e = engine(spark, d, table)
+    key = (spark.sparkContext.applicationId, d, table, field)
+    known = key in _BUILT
+    if not known:
+        sc = spark.sparkContext
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not shared:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir isn't set: the executors have no folder that they share")
+            shared = f"file://{tempfile.mkdtemp(prefix='postings-')}"
+        _BUILT[key] = f"{shared.rstrip('/')}/postings-{uuid.uuid4().hex}"
+    e.attach(table, field, _BUILT[key], build=not known)
+    return e
 
 
 def text_postings(spark: SparkSession, d: str) -> postings.Postings:
-    """The postings of all texts, in the folder that executors share (a temporary one only where none is set)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='postings-')}"
-    to = f"{shared.rstrip('/')}/postings-{uuid.uuid4().hex}"
-    postings.build(engine(spark, d, "documents").indices["documents"], "text", to)
-    return postings.Postings(spark, to)
+    return posted(spark, d, "documents", "text").indices["documents"].lists["text"]
+
+
+def listed(name: str, like: str, table: str, field: str, query: dict, **body) -> None:
+    """The query `like` again, answered from the inverted index."""
+    add(name, lambda spark, d: scored(posted(spark, d, table, field).search(table, {"query": query, "size": -1, "_source": False} | body)), ORACLES[like])
 
 
 add("postings_match", lambda spark, d: text_postings(spark, d).match("with the").select("_id", F.round("score", 6).alias("score")), ORACLES["match_or"])
 add("postings_scan", lambda spark, d: text_postings(spark, d).docs("with").select("_id", "freq", "len", F.array_join("pos", ",").alias("pos")), f"WITH {DOC}, p AS (SELECT _id, len(t) AS n, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS i FROM d) SELECT _id, CAST(count(*) AS INTEGER) AS freq, CAST(any_value(n) AS INTEGER) AS len, string_agg(i, ',' ORDER BY i) AS pos FROM p WHERE w = 'with' GROUP BY _id")
+add("doc_freq", lambda spark, d: text_postings(spark, d).doc_freq("with"), f"WITH {DOC} SELECT count(*) AS doc_freq FROM d WHERE {has('with')}")
+listed("posted_match_or", "match_or", "documents", "text", {"match": {"text": "with the"}})
+listed("posted_match_and", "match_and", "documents", "text", {"match": {"text": {"query": "of The and", "operator": "and", "boost": 2}}})
+listed("posted_top", "search_top", "documents", "text", TOP["query"], size=10)
+listed("posted_fuzzy", "match_fuzzy", "part", "p_name", {"match": {"p_name": {"query": "widgt", "fuzziness": "AUTO"}}})
+listed("posted_phrase", "match_phrase", "documents", "text", {"match_phrase": {"text": "of the"}})
+listed("posted_phrase_prefix", "match_phrase_prefix", "documents", "text", {"match_phrase_prefix": {"text": "of th"}})
+listed("posted_phrase_slop", "match_phrase_slop", "documents", "text", {"match_phrase": {"text": {"query": "that with", "slop": 3}}})
+listed("posted_term", "term_text", "documents", "text", {"term": {"text": "Thé"}})
+listed("posted_prefix", "prefix", "part", "p_name", {"prefix": {"p_name": "GI"}})
+listed("posted_wildcard", "wildcard_text", "part", "p_name", {"wildcard": {"p_name": "w?d*t"}})
+listed("posted_dis_max", "dis_max_tie", "part", "p_name", {"dis_max": {"queries": [{"match": {"p_name": "red"}}, {"match": {"p_name": "ring"}}], "tie_breaker": 0.3}})
+listed("posted_bool", "bool_full", "documents", "text", FULL)
 add("field_stats", lambda spark, d: text_postings(spark, d).field_stats().select("n_docs", F.round("mean_len", 6).alias("mean_len")), f"WITH {DOC} SELECT n AS n_docs, round(l / n, 6) AS mean_len FROM s")
 
 

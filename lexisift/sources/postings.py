@@ -1,8 +1,9 @@
 """An inverted index as a table: what repeated queries read instead of the texts.
 
 (term, _id, freq, pos, len) is written in ranges of terms, sorted by term, so that the Parquet reader skips the row groups of other
-terms; a term with very many documents is spread over several ranges. The field's statistics lie beside it. One shuffle builds it; a
-query reads the lists of its terms, and shuffles only those by document.
+terms; a term with very many documents is spread over several ranges. The dictionary (term, doc_freq) and the field's statistics lie beside it. Two
+shuffles build it: a document's tokens are grouped (mostly before they are shuffled, as they are in one task), and the lists are ranged by term, from a copy
+beside them, so that the sampling for the ranges tokenizes no text again. A query reads the lists of its terms, and shuffles only those by document. Engine.attach lets searches use it.
 """
 
 from __future__ import annotations
@@ -26,28 +27,37 @@ def build(index: Index, path: str, to: str, parts: int | None = None) -> None:
     docs = ctx.with_tokens(index.df).select("_id", tok.alias("t")).withColumn("len", F.size(F.array_compact("t"))).filter("len > 0")
     each = docs.select("_id", "len", F.posexplode("t").alias("p", "term")).filter("term is not null")
     lists = each.groupBy("_id", "len", "term").agg(F.count(F.lit(1)).cast("int").alias("freq"), F.sort_array(F.collect_list("p")).alias("pos"))
+    lists.select("term", "_id", "freq", "pos", "len").write.mode("overwrite").parquet(f"{to}/raw")
     spark = index.df.sparkSession
+    lists = spark.read.parquet(f"{to}/raw")
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the id among the range keys splits a hot term
-    out = lists.repartitionByRange(n, "term", "_id").sortWithinPartitions("term", "_id")
-    out.select("term", "_id", "freq", "pos", "len").write.mode("overwrite").parquet(f"{to}/lists")
-    docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).coalesce(1).write.mode("overwrite").parquet(f"{to}/stats")
+    lists.repartitionByRange(n, "term", "_id").sortWithinPartitions("term", "_id").write.mode("overwrite").parquet(f"{to}/lists")
+    lists.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq")).write.mode("overwrite").parquet(f"{to}/terms")
+    one = lists.groupBy("_id").agg(F.max("len").cast("long").alias("len"))
+    one.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).coalesce(1).write.mode("overwrite").parquet(f"{to}/stats")
+    _remove(spark, f"{to}/raw")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 class Postings:
     def __init__(self, spark: SparkSession, path: str):
-        self.lists, self.stats = spark.read.parquet(f"{path}/lists"), spark.read.parquet(f"{path}/stats")
+        self.lists, self.stats, self._terms = (spark.read.parquet(f"{path}/{x}") for x in ("lists", "stats", "terms"))
 
     def docs(self, term: str) -> DataFrame:
         """(_id, freq, pos, len) of the documents with a term."""
         return self.lists.filter(F.col("term") == term).drop("term")
 
-    def terms(self) -> DataFrame:
-        """(term, doc_freq): the dictionary."""
-        return self.lists.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
+    def dictionary(self) -> DataFrame:
+        """(term, doc_freq)."""
+        return self._terms
 
     def doc_freq(self, term: str) -> DataFrame:
-        return self.docs(term).agg(F.count(F.lit(1)).alias("doc_freq"))
+        return self._terms.filter(F.col("term") == term).agg(F.coalesce(F.max("doc_freq"), F.lit(0).cast("long")).alias("doc_freq"))
 
     def field_stats(self) -> DataFrame:
         """(n_docs, mean_len) of the documents with a term."""

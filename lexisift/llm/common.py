@@ -15,12 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one of a session in one process (tests); on a cluster an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
         where = sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: the executors have no folder that they share")
         where = "file://" + tempfile.mkdtemp(prefix="shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
@@ -37,11 +39,6 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def local_path(uri: str) -> str:
-    """A file: URI as a path; other paths unchanged."""
-    return uri[len("file://"):] if uri.startswith("file://") else uri.removeprefix("file:")
-
-
 def spare(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, whatever their case."""
     have = {c.lower() for c in df.columns}

@@ -48,8 +48,31 @@ def test_views_are_not_copies(spark, tmp_path):
     df = spark.createDataFrame([(1, "a b c " * 500)], "doc_id long, text string")
     token_files.write_tokens(df, f"file://{tmp_path}/t", PATH, length=32).collect()
     (p,) = Path(f"{tmp_path}/t").glob("*.arrow")
-    ids, _ = token_files.open_file(str(p))[3]
-    assert not ids.flags.owndata and not ids.flags.writeable
+    ids, mask = token_files.open_file(str(p))[3]
+    for x in (ids, mask):
+        assert not x.flags.owndata and not x.flags.writeable
+    assert mask.dtype == bool and len(mask) == 32
+
+
+def test_files_are_written_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b c " * 500)], "doc_id long, text string")
+    rows = token_files.write_tokens(df, f"file://{tmp_path}/t", PATH, length=32)
+    (p,) = Path(f"{tmp_path}/t").glob("*.arrow")
+    before = p.stat().st_mtime_ns
+    assert rows.count() == len(rows.collect()) == len(token_files.open_file(f"file://{p}")) and p.stat().st_mtime_ns == before
+
+
+def test_other_file_systems(spark, tmp_path, monkeypatch):
+    """The mock scheme is a file system in memory; an unknown scheme is refused; nothing lands in a local folder of that name."""
+    monkeypatch.chdir(tmp_path)
+    df = spark.createDataFrame([(1, "a b c " * 500)], "doc_id long, text string")
+    rows = token_files.write_tokens(df, "mock:///tokens", PATH, length=32).collect()
+    assert rows and all(r["path"].startswith("mock:///tokens/part-") for r in rows) and not list(tmp_path.iterdir())
+    with pytest.raises(ValueError, match="no file system"):
+        token_files.write_tokens(df, "nowhere://host/tokens", PATH)
+    with pytest.raises(ValueError, match="larger than a vocabulary"):
+        monkeypatch.setattr(token_files, "MAX_VOCABULARY", 10)
+        token_files.write_tokens(df, f"file://{tmp_path}/t", PATH)
 
 
 def test_empty(spark, empty, tmp_path):

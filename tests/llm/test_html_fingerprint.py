@@ -1,5 +1,7 @@
 import hashlib
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexisift.llm import fingerprint, html_text
@@ -17,6 +19,45 @@ def test_html_keeps_the_dense_block(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+CASES = [
+    ("Caf&eacute; it&#8217;s &#x2014; &unknown; &amp;lt; &#0; &#xD800; &#150; &NotEqualTilde; a&b &#x1F642;", "Café it’s — &unknown; &lt; \ufffd \ufffd – \u2242\u0338 a&b 🙂"),
+    ("a < b and c > d <3 and 1<2", "a < b and c > d <3 and 1<2"),
+    ('x <img alt="a > b" src=x> y <a title=\'p > q\' href = "z">link</a> <p class=o\'neil>end', "x  y link\nend".replace("  ", " ")),
+    ("before <script>var a = 1;", "before"),
+    ("before <style>p {}", "before"),
+    ("before <!-- never closed <p>text</p>", "before"),
+    ("<script>s = '<!--';</script>after", "after"),
+    ("<SCRIPT>x</Script >after<!-- c -->more", "after more"),
+    ("cut off <b class=", "cut off"),
+    ("<title>T</title>body<noscript>no</noscript>", "body"),
+]
+
+
+def test_markup_of_all_kinds(spark):
+    rows = [(i, h) for i, (h, _) in enumerate(CASES)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u")), surge=1).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(CASES)}
+
+
+@pytest.mark.parametrize("bad", ["<script ", "<!-- ", "<div ", "<div a=\"", "<p a='\"", "</script ", "<", "&#", "&amp", "<p><", "x\n"])
+def test_time_grows_with_the_length(spark, bad):
+    """A page of a million characters of bad markup."""
+    df = spark.createDataFrame([(1, "u", bad * (1_000_000 // len(bad)))], "page_id long, url string, html string")
+    html_text.extract(df.limit(1)).collect()
+    began = time.time()
+    html_text.extract(df).collect()
+    assert time.time() - began < 8
+
+
+def test_back_takes_the_whole_block(spark):
+    html = f"<nav><li>a</li></nav><article><h1>Heading</h1><p>Short.</p><p>Still short.</p><p>x</p><p>{BODY}</p></article><footer>f</footer>"
+    df = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    text = lambda **how: html_text.extract(df, **how).first()["text"]
+    assert text() == f"x\n{BODY.strip()}"
+    assert text(back=True) == f"Heading\nShort.\nStill short.\nx\n{BODY.strip()}"
+    assert text(window=1) == BODY.strip() and text(surge=10_000) == ""
+
+
 def wide(p):
     h = hashlib.sha256(p.encode()).hexdigest()
     w = "".join(hashlib.sha256(f"{h}:{k}".encode()).hexdigest() for k in range(4))

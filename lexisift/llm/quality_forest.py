@@ -1,7 +1,7 @@
 """Quality rules: an isolation forest on rule statistics.
 
-The rule statistics of every document are JVM expressions over its whole text. Trees isolate rows by random splits
-of random features; a row's anomaly score is 2 ** (-mean path length / c(sample)), near 1 for rows that few
+The rule statistics of every document are JVM expressions over its whole text, none of them cut off (the mean length of a word is taken as its logarithm).
+Trees isolate rows by random splits of random features; a row's anomaly score is 2 ** (-mean path length / c(sample)), near 1 for rows that few
 splits isolate. The trees are grown on good labelled rows, SUBSAMPLE of them each; splits fall anywhere in the range
 that a feature has in good and bad labelled rows, so that rows where good ones are missing end early. At most
 about `max_train_rows` labelled rows are used (the only bound; drawn by a hash of the id). The threshold is calibrated on all labelled rows: the score that keeps the share
@@ -10,7 +10,7 @@ about `max_train_rows` labelled rows are used (the only bound; drawn by a hash o
 Defined results
 - null and empty texts have statistics 0 and are scored like other rows; texts without a word are rejected when there is a model.
 - no good labelled row at all: no model, every score is 0 and everything is kept.
-- repeated rows: alike, each on its own. Repeated labels of one id: the worst counts. Null ids take no label.
+- repeated rows: alike, each on its own. Repeated labels of one id: the worst counts. Null ids take no label. Empty tables give no row.
 - extra columns are ignored by `scores`. Very long texts are measured whole; ties at the threshold are kept.
 """
 
@@ -41,7 +41,7 @@ def statistics(text: Column) -> list[Column]:
         share(r"[0-9]"),
         share(r"[!?]"),
         share(r"[|\[\]/•]"),
-        F.least(F.length(F.regexp_replace(text, r"\s+", "")) / words, F.lit(40.0)),
+        F.log1p(F.length(F.regexp_replace(text, r"\s+", "")) / words),
         # distinct words grow as the square root of a text's length: what is missing of three times that
         F.greatest(1 - F.size(F.array_distinct("__w")) / F.least(words, 3 * F.sqrt(words)), F.lit(0.0)),
         F.size("__w") / n,

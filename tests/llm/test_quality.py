@@ -1,4 +1,7 @@
+import math
 import random
+import re
+import unicodedata
 
 import numpy as np
 
@@ -61,3 +64,52 @@ def test_edges(spark, edge, empty):
     none = Q.scores(edge, labels.limit(0)).collect()
     assert all(r["kept"] and r["score"] == 0 for r in none) and len(none) == 12
     assert Q.scores(empty, labels).count() == 0
+
+
+def brute_statistics(text):
+    text = text or ""
+    n, words, lines = max(len(text), 1), [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w], text.split("\n")
+    share = lambda test: sum(map(test, text)) / n
+    k = max(len(words), 1)
+    return [
+        share(lambda c: c in "#$%&*@^~<>{}=+\\_"), share(lambda c: unicodedata.category(c) == "Lu"), share(lambda c: c in "0123456789"), share(lambda c: c in "!?"), share(lambda c: c in "|[]/•"),
+        math.log1p(sum(c not in " \t\n\x0b\f\r" for c in text) / k), max(1 - len(set(words)) / min(k, 3 * math.sqrt(k)), 0.0), len(words) / n, 1 - len(set(lines)) / max(len(lines), 1),
+    ]
+
+
+def test_statistics_against_plain_python(spark, edge, edge_rows):
+    rng = random.Random(9)
+    texts = [t for _, t, *_ in edge_rows] + [document(rng, i % 3 > 0) for i in range(60)] + ["".join(rng.choices("aB1 !|#\\_\n\tÄé•", k=200)) for _ in range(60)] + ["x" * 100_000, "A\x0bB\fC\rD"]
+    rows = Q.features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute_statistics(texts[r["doc_id"]])
+        assert all(abs(a - b) < 1e-9 for a, b in zip(r["f"], want)), (texts[r["doc_id"]][:80], r["f"], want)
+
+
+def test_growth_against_plain_recursion():
+    """The same trees grown by a recursion over lists, with the same draws."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 4))
+    x[:, 3] = 1.0  # a feature without a range is never split
+    low, high = x.min(axis=0) - 0.5 * (np.arange(4) < 3), x.max(axis=0)
+    f = Q.Forest(x, low, high, trees=6, subsample=40, depth=7, seed=3)
+    draw = np.random.default_rng(3)
+
+    def grow(rows, low, high, at):
+        live = [j for j in range(4) if high[j] > low[j]]
+        if at >= 7 or len(rows) < 2 or not live:
+            return at + Q.average_path(len(rows))
+        j = int(draw.choice(np.array(live)))
+        v = draw.uniform(low[j], high[j])
+        cut = lambda edge: [v if k == j else e for k, e in enumerate(edge)]
+        return j, v, grow([r for r in rows if r[j] < v], low, cut(high), at + 1), grow([r for r in rows if r[j] >= v], cut(low), high, at + 1)
+
+    def shape(node):
+        if f.feature[node] < 0:
+            return f.path[node]
+        return int(f.feature[node]), f.value[node], shape(f.left[node]), shape(f.left[node] + 1)
+
+    for root in f.roots:
+        own = [list(x[i]) for i in draw.choice(90, 40, replace=False)]
+        assert shape(root) == grow(own, list(low), list(high), 0)

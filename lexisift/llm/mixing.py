@@ -159,7 +159,7 @@ def kept(docs: DataFrame, weights: dict | None = None, source: str = "source", t
 
 def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", doc_id: str = "doc_id", text: str = "text", rows_per_shard: int = ROWS_PER_SHARD, block: int = BLOCK, seed: int = SEED, temperature: float = TEMPERATURE, size: int | None = None, epochs: int | None = None) -> DataFrame:
     """The drawn rows of docs with their columns, `shard` and `position` (from 0, in the shard's shuffled order). weights: by the source as a string, or None; size, epochs: see quotas."""
-    spark, columns = docs.sparkSession, [c for c in docs.columns if c not in ("shard", "position")]
+    spark, columns = docs.sparkSession, [c for c in docs.columns if c.lower() not in ("shard", "position")]
     small = text in columns and isinstance(docs.schema[text].dataType, T.StringType)
     sent = [_packed(col(c)).alias(c) if small and c == text else col(c) for c in columns]
     rows = docs.select(F.struct(*sent).alias("__row"), group_key(col(source)).alias("__s"), F.xxhash64(F.lit(seed), col(doc_id), col(text)).alias("__h"))

@@ -44,6 +44,59 @@ def test_run(spark, small):
     assert out.columns == ["bin_id", "doc_ids", "starts", "lengths", "used"] and out.count() > 0
 
 
+def test_stages_take_any_rows(spark, edge, edge_rows, empty, plain_edge):
+    """Nulls, empty and long texts, ties, repeated rows and columns that are called like helpers; then no row at all, and no n_chars."""
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs, held = edge, []
+    for _, stage in P.STAGES[:-1]:
+        docs = jaccard_join.cut(stage(spark, docs, ""))
+        assert docs.columns == edge.columns and docs.schema["n_chars"].dataType == edge.schema["n_chars"].dataType
+        assert all(r[c] == f"extra {c}" for r in docs.collect() for c in edge.columns if c not in names)
+        held.append(Counter(tuple(r[c] for c in names) for r in docs.collect()))
+    given = Counter(edge_rows)
+    assert held[0] <= given and all(r[1] for r in held[0]) and sum(held[0].values()) >= 8
+    want = line_dedup([(i, t) for i, t, *_ in held[0] if i is not None])
+    assert held[1] == Counter({(r[0], t, r[2], r[3], len(t)): n for r, n in held[0].items() if (t := r[1] if r[0] is None else want[r[0]]) is not None})
+    ids = [i for i, *_ in held[1] if i is not None]
+    root = groups(ids, near_pairs([(i, t) for i, t, *_ in held[1]]))
+    assert held[2] == Counter({r: n for r, n in held[1].items() if r[0] is None or root[r[0]] == r[0]})
+    sources = Counter()
+    for r, n in held[2].items():
+        sources[r[3]] += n
+    drawn = Counter()
+    for r, n in held[3].items():
+        drawn[r[3]] += n
+    quota = mixing.quotas({"" if k is None else f"={k}": n for k, n in sources.items()})
+    assert held[3] <= held[2] and drawn == Counter({k: quota["" if k is None else f"={k}"] for k in sources})
+    used = Counter()
+    for b in P.STAGES[-1][1](spark, docs, "").collect():
+        for i, n in zip(b["doc_ids"], b["lengths"]):
+            used[i] += n
+    words = Counter()
+    for r, n in held[3].items():
+        words[r[0]] += n * len(r[1].split())
+    assert used == words
+    nothing = empty
+    for _, stage in P.STAGES:
+        nothing = stage(spark, nothing, "")
+    assert nothing.count() == 0
+    assert P.delete_repeated_lines(spark, plain_edge.drop("n_chars"), "").columns == names[:-1]
+    kept = {r["doc_id"]: r["n_chars"] for r in P.delete_repeated_lines(spark, plain_edge.withColumn("n_chars", plain_edge["doc_id"] + 100), "").collect()}
+    assert kept[3] == 103 and kept[4] == 0
+
+
+def test_run_leaves_one_stage_behind(spark, edge, tmp_path):
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    folders = lambda: {p.name.rpartition("-")[0] for p in shared.iterdir() if p.name.rpartition("-")[0] in {n.replace(" ", "-") for n, _ in P.STAGES}}
+    for p in shared.iterdir():
+        if p.name.startswith(("language-ID-", "line-dedup-", "near-duplicates-", "mixing-")):
+            p.rename(tmp_path / p.name)
+    edge.write.parquet(f"{tmp_path}/documents.parquet")
+    assert P.run(spark, str(tmp_path)).count() > 0 and folders() == {"mixing"}
+
+
 def test_registered(spark, small):
     have = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in registered()[0]} and "pipeline" in have

@@ -14,6 +14,8 @@ from .plans.compiler import Context, compile_query
 from .plans.schema import Index, leaves, paths_of, typed_properties
 from .sources import documents, oplog, postings
 from .sources.catalog import resolve, valid_name
+from .sources.shared import settled
+from .sources.store import Store
 
 
 class IndexMissing(KeyError):
@@ -21,12 +23,12 @@ class IndexMissing(KeyError):
 
 
 class Engine:
-    """Typed tables are registered as they are; JSON documents come in as operations and are kept in a snapshot."""
+    """Typed tables are registered as they are; JSON documents come in as operations and are kept in a store."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.indices: dict[str, Index] = {}
-        self.snapshots: dict[str, DataFrame] = {}
+        self.stores: dict[str, Store] = {}
         self.rounds: dict[str, int] = {}
 
     # --- catalog
@@ -56,13 +58,13 @@ class Engine:
             raise ValueError(f"invalid index name [{name}]")
         if name in self.indices:
             raise ValueError(f"index [{name}] exists")
-        self.snapshots[name] = self.spark.createDataFrame([], oplog.SNAPSHOT)
+        self.stores[name] = Store(self.spark)
         return self._refresh(name, (mapping or {}).get("properties") or {}, settings or {})
 
     def delete(self, name: str) -> None:
         self._one(name)
         del self.indices[name]
-        self.snapshots.pop(name, None)
+        self.stores.pop(name, None)
 
     def exists(self, expression: str) -> bool:
         return bool(resolve(expression, self.indices))
@@ -166,14 +168,13 @@ class Engine:
     # --- writing
 
     def _refresh(self, name: str, properties: dict, settings: dict) -> Index:
-        df = documents.flattened(self.snapshots[name].filter(F.col("_index") == name).drop("_index")).drop("_kinds")
-        self.indices[name] = Index(name, df, properties, None, settings)
+        self.indices[name] = Index(name, self.stores[name].view().drop("_index"), properties, None, settings)
         return self.indices[name]
 
     def ingest(self, name: str, ops: DataFrame) -> DataFrame:
         """Apply operations (seq, op, id, doc, upsert) to a JSON table, which is made if it isn't there; gives an item for each.
 
-        The state after them is checkpointed in the shared folder, if one is set, and kept as a plan otherwise.
+        What they changed is written to the shared folder; documents that they don't touch aren't written again.
         """
         if name not in self.indices:
             self.create(name)
@@ -183,8 +184,8 @@ class Engine:
         start = self.rounds.get(name, 0) << 40  # operations of later calls come after
         self.rounds[name] = self.rounds.get(name, 0) + 1
         ops = ops.withColumn("_index", F.lit(name)).withColumn("seq", F.col("seq") + F.lit(start))
-        applied = self._settled(oplog.apply_operations(self.snapshots[name], ops))
-        self.snapshots[name] = self._settled(oplog.after(self.snapshots[name], applied))
+        applied = settled(oplog.apply_operations(self.stores[name].snapshot(), ops))
+        self.stores[name].write(applied)
         written = applied.filter("op <> 'base' and op <> 'delete' and error is null").select(F.col("seq").alias("_seq_no"), "_source")
         properties = documents.infer(documents.flattened(written), x.properties)
         self._refresh(name, properties, x.settings)
@@ -223,37 +224,28 @@ class Engine:
 
     def delete_by_query(self, expression: str, body: dict | None = None) -> DataFrame:
         """One row: `deleted`. No query deletes everything. Tables go on without the matched rows; their sources stay."""
-        gone = self._settled(self.matches(expression, (body or {}).get("query")))
+        gone = settled(self.matches(expression, (body or {}).get("query")))
         for x in self._resolved(expression, lenient=True):
             ids = gone.filter(F.col("_index") == x.name).select(F.col("_id").alias("__d"))
             if x.json:
-                s = self.snapshots[x.name]
-                self.snapshots[x.name] = self._settled(s.join(ids, s["_id"] == ids["__d"], "left_anti"))
+                self.stores[x.name].remove(gone.filter(F.col("_index") == x.name))
                 self._refresh(x.name, x.properties, x.settings)
             else:
                 x.df = x.df.join(ids, x.df["_id"] == ids["__d"], "left_anti")
                 x.lists = {}
         return gone.agg(F.count(F.lit(1)).alias("deleted"))
 
-    def _settled(self, df: DataFrame) -> DataFrame:
-        shared = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
-        if not shared:
-            return df
-        if not self.spark.sparkContext.getCheckpointDir():
-            self.spark.sparkContext.setCheckpointDir(shared)
-        return df.checkpoint()
-
     # --- persistence
 
     def save(self, path: str) -> None:
         """Each JSON table as a folder of Parquet with its mapping beside it."""
-        for name, snapshot in self.snapshots.items():
-            snapshot.write.mode("overwrite").parquet(f"{path}/{name}/docs")
+        for name, store in self.stores.items():
+            store.snapshot().write.mode("overwrite").parquet(f"{path}/{name}/docs")
             meta = json.dumps({"mappings": {"properties": self.indices[name].properties}, "settings": self.indices[name].settings}, ensure_ascii=False)
             self.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}/meta")
 
     def load(self, path: str, names: Iterable[str]) -> None:
         for name in names:
             meta = json.loads(self.spark.read.text(f"{path}/{name}/meta").first()[0])
-            self.snapshots[name] = self.spark.read.schema(oplog.SNAPSHOT).parquet(f"{path}/{name}/docs")
+            self.stores[name] = Store(self.spark, self.spark.read.schema(oplog.SNAPSHOT).parquet(f"{path}/{name}/docs"))
             self._refresh(name, meta["mappings"]["properties"], meta["settings"])

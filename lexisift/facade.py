@@ -246,7 +246,7 @@ class Facade:
             return 404, {"_index": name, "_id": item["_id"], "result": "not_found", "_shards": OK}
         version = 1
         if item["result"] != "deleted":
-            version = self.engine.snapshots[name].filter(F.col("_id") == item["_id"]).first()["_version"]
+            version = self.engine.stores[name].snapshot().filter(F.col("_id") == item["_id"]).first()["_version"]
         return item["status"], {"_index": name, "_id": item["_id"], "_version": version, "result": item["result"], "_shards": OK, "_seq_no": version, "_primary_term": 1}
 
     def _source(self, method: str, name: str, rest: list[str]) -> tuple[int, object]:

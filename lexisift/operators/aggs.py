@@ -103,7 +103,7 @@ class Tree:
     """columns: where each Need is found, and whether it is an array. every: the rows for `global`."""
 
     def __init__(self, nodes: list[Node], rows: DataFrame, columns: dict[Need, tuple[str, bool]], every: Callable[[], DataFrame], typed: Callable[[str], str]):
-        self.columns, self.every, self.typed = columns, every, typed
+        self.rows, self.columns, self.every, self.typed = rows, columns, every, typed
         self.results: dict[str, Result] = {}
         metrics = [n for n in nodes if n.metric]
         if metrics:

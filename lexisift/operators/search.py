@@ -42,6 +42,11 @@ class SearchResult:
     def others(self) -> dict[str, DataFrame]:
         return {p: r.other for p, r in self.tree.results.items() if r.other is not None} if self.tree else {}
 
+    def _summary(self) -> tuple[int, float | None]:
+        """Total and greatest score, by one scan."""
+        n, most = self.matched.agg(F.count(F.lit(1)), F.max("_score")).first()
+        return n, most if self.by_score else None
+
     @property
     def total(self) -> int:
         return self.matched.count()
@@ -64,10 +69,16 @@ class SearchResult:
             if "highlight" in self.hits.columns and r["highlight"]:
                 hit["highlight"] = r["highlight"]
             out.append(hit)
-        env = {"timed_out": False, "hits": {"total": {"value": self.total, "relation": "eq"}, "max_score": self.max_score if rows else None, "hits": out}}
+        total, most = self._summary()
+        env = {"timed_out": False, "hits": {"total": {"value": total, "relation": "eq"}, "max_score": most if rows else None, "hits": out}}
         if self.tree:
-            held = {p: [r.asDict() for r in x.df.collect()] for p, x in self.tree.results.items()}
-            rest = {p: [r.asDict() for r in x.collect()] for p, x in self.others.items()}
+            # the columns that aggregations read are kept for all nodes of the request, in memory or on disk; a lost part is made again
+            self.tree.rows.persist()
+            try:
+                held = {p: [r.asDict() for r in x.df.collect()] for p, x in self.tree.results.items()}
+                rest = {p: [r.asDict() for r in x.collect()] for p, x in self.others.items()}
+            finally:
+                self.tree.rows.unpersist()
             env["aggregations"] = {n.name: self._agg(n, {}, held, rest) for n in self.nodes}
         return env
 

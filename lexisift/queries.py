@@ -6,7 +6,6 @@ digits on both sides.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +16,7 @@ from .engine import Engine
 from .functions.analysis import ACCENTED, PLAIN
 from .operators.search import SearchResult
 from .sources import oplog, postings
+from .sources.shared import shared_dir
 
 IDS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -341,19 +341,12 @@ _BUILT: dict[tuple[str, str, str, str], str] = {}
 
 
 def posted(spark: SparkSession, d: str, table: str, field: str) -> Engine:
-    """An engine with the inverted index of a text field of a whole table, built once a session, in the folder that executors share (a temporary one only where
-    none is set and there is one process)."""
+    """An engine with the inverted index of a text field of a whole table, built once a session, in the folder that executors share."""
     e = engine(spark, d, table)
     key = (spark.sparkContext.applicationId, d, table, field)
     known = key in _BUILT
     if not known:
-        sc = spark.sparkContext
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-        if not shared:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir isn't set: the executors have no folder that they share")
-            shared = f"file://{tempfile.mkdtemp(prefix='postings-')}"
-        _BUILT[key] = f"{shared.rstrip('/')}/postings-{uuid.uuid4().hex}"
+        _BUILT[key] = f"{shared_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
     e.attach(table, field, _BUILT[key], build=not known)
     return e
 

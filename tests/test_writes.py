@@ -43,7 +43,7 @@ def test_bulk_items(bulked):
 
 def test_state_after_bulk(bulked):
     e, _ = bulked
-    got = {r["_id"]: (r["_version"], r["_source"]) for r in e.snapshots["posts"].collect()}
+    got = {r["_id"]: (r["_version"], r["_source"]) for r in e.stores["posts"].snapshot().collect()}
     assert got == {"1": (2, '{"n":1.50,"stats":{"by":null,"reads":8},"title":"Harbour"}'), "2": (1, '{"a":2}')}
     assert e.search("posts", {"query": {"term": {"stats.reads": 8}}}).hits.collect()[0]["_id"] == "1"
     assert e.search("posts", {"query": {"exists": {"field": "stats"}}}).total == 1 and e.search("posts", {"query": {"exists": {"field": "stats.by"}}}).total == 0
@@ -153,3 +153,26 @@ def test_delete_by_query_and_typed_tables(spark):
     assert e.delete_by_query("t").first()[0] == 2 and e.count("t").first()[0] == 0
     with pytest.raises(ValueError, match="typed"):
         e.put("t", "1", {})
+
+
+def test_writes_touch_only_what_they_change(spark, monkeypatch):
+    """A put writes its document and the writes since the last merge, not the table; searches don't parse documents again."""
+    from lexisift.sources import store
+
+    monkeypatch.setattr(store, "MERGE_AFTER", 4)
+    e = Engine(spark)
+    e.ingest("t", spark.createDataFrame([(i, "index", str(i), f'{{"n":{i}}}') for i in range(2000)], "seq long, op string, id string, doc string"))
+    sizes = []
+    for k in range(7):
+        e.put("t", str(k), {"n": k, "round": "again"}) if k % 3 else e.remove("t", str(k))
+        held = e.stores["t"]
+        sizes.append((held.delta.count() if held.delta is not None else 0, held.base.count()))
+        assert e.count("t").first()[0] == 2000 - sum(1 for j in range(k + 1) if j % 3 == 0)
+    assert sizes == [(2000, 0), (2000, 0), (0, 1999), (1, 1999), (2, 1999), (3, 1999), (0, 1997)]
+    r = e.search("t", {"query": {"term": {"round": "again"}}, "size": -1})
+    assert {x["_id"] for x in r.hits.collect()} == {"1", "2", "4", "5"}
+    assert "Python" not in r.matched._jdf.queryExecution().toString()
+    assert e.delete_by_query("t", {"query": {"range": {"n": {"gte": 10}}}}).first()[0] == 1990
+    assert {x["_id"] for x in e.search("t", {"size": -1}).hits.collect()} == {"1", "2", "4", "5", "7", "8", "9"}
+    e.put("t", "500", {"n": -1})
+    assert e.get("t", "500").first()["_version"] == 1 and e.get("t", "1").first()["_version"] == 2

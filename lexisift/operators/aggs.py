@@ -105,6 +105,7 @@ class Tree:
     def __init__(self, nodes: list[Node], rows: DataFrame, columns: dict[Need, tuple[str, bool]], every: Callable[[], DataFrame], typed: Callable[[str], str]):
         self.rows, self.columns, self.every, self.typed = rows, columns, every, typed
         self.results: dict[str, Result] = {}
+        self.taken: list[str] = []
         metrics = [n for n in nodes if n.metric]
         if metrics:
             df = self._metrics_only(rows, metrics)
@@ -208,7 +209,7 @@ class Tree:
 
     def _label(self, n: Node, keys: list[str]) -> str:
         name = n.name
-        while name in keys or name in ("key", "doc_count"):
+        while name in keys or name in self.taken or name in ("key", "doc_count"):
             name += "_"
         return name
 
@@ -267,13 +268,27 @@ class Tree:
             out.append((key, F.coalesce(c, F.lit(False)), {"from": lo, "to": hi}))
         return out
 
+    def _global_below(self, n: Node, rows: DataFrame, keys: list[str]) -> None:
+        """All documents again for each bucket above: aggregated once, and the finished buckets repeated for each."""
+        outer, self.results = self.results, {}
+        taken, self.taken = self.taken, [*self.taken, *keys]
+        self._flags(n, rows, [], [c for c in n.children if c.metric], [c for c in n.children if not c.metric])
+        inner, self.results, self.taken = self.results, outer, taken
+        above = rows.select(*keys).distinct()
+
+        def repeated(df: DataFrame) -> DataFrame:
+            out = df.withColumn("__o", F.monotonically_increasing_id()).crossJoin(above)  # rows of bucket lists on both sides, no documents
+            return out.orderBy(*keys, "__o").select(*keys, *df.columns)
+
+        for path, r in inner.items():
+            self.results[path] = Result(r.node, repeated(r.df), [*keys, *r.keys], repeated(r.other) if r.other is not None else None)
+
     def _flags(self, n: Node, rows: DataFrame, keys: list[str], metrics: list[Node], below: list[Node]) -> None:
         """Buckets that are known beforehand: conditional aggregates in one pass, so empty ones stay."""
+        if n.kind == "global" and keys:
+            return self._global_below(n, rows, keys)
         if n.kind == "global":
-            above = rows.select(*keys).distinct() if keys else None
             rows = self.every()
-            if above is not None:  # below a bucket it shows all documents again, for each bucket
-                rows = rows.crossJoin(above)
         conditions = self._conditions(n)
         label, columns, places, many = self._label(n, keys), [], [], []
         if not conditions:

@@ -422,3 +422,147 @@ def _delete_by_query(spark: SparkSession, d: str) -> DataFrame:
 add("delete_by_query", _delete_by_query, "SELECT CAST(o_orderkey AS VARCHAR) AS _id, o_totalprice FROM orders WHERE o_totalprice >= 250000")
 add("mget", lambda spark, d: engine(spark, d, "nation", "region").mget("nation", [{"_id": "3"}, {"_index": "region", "_id": "1"}, {"_index": "nowhere", "_id": "1"}], ["99", "3"]).select("position", "_index", "_id", "found"), "SELECT * FROM (VALUES (0, 'nation', '3', true), (1, 'region', '1', true), (2, 'nowhere', '1', false), (3, 'nation', '99', false), (4, 'nation', '3', true)) v(position, _index, _id, found)")
 add("get", lambda spark, d: engine(spark, d, "customer").get("customer", "17").drop("_id"), "SELECT * FROM customer WHERE c_custkey = 17")
+
+
+# --- the surface: files, logs, single documents, names, answers
+
+
+def lines_of(df: DataFrame, order: str, line, to: str, files: int) -> None:
+    """Text files whose names are in the order of a column."""
+    df.repartitionByRange(files, order).sortWithinPartitions(order).select(line.alias("value")).write.mode("overwrite").text(to)
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _bulk_ndjson(spark: SparkSession, d: str) -> DataFrame:
+    """All events as bulk files: each is indexed under its user's id, errors delete it; then the documents that are left."""
+    e, to = read(spark, d, "events"), _folder(spark, "bulk")
+    meta = F.concat(F.lit('{"_index":"users","_id":"'), F.col("user_id").cast("string"), F.lit('"}'))
+    doc = F.concat(F.lit('{"event":'), F.col("event_id").cast("string"), F.lit(',"type":"'), "event_type", F.lit('"}'))
+    put = F.concat(F.lit('{"index":'), meta, F.lit("}\n"), doc)
+    lines_of(e, "event_id", F.when(F.col("event_type") == "error", F.concat(F.lit('{"delete":'), meta, F.lit("}"))).otherwise(put), to, 5)
+    ops = oplog.sequence(oplog.read_bulk(spark, to))
+    state = oplog.after(None, oplog.apply_operations(None, ops))
+    return state.select("_id", "_version", F.get_json_object("_source", "$.event").cast("long").alias("event"), F.get_json_object("_source", "$.type").alias("type"))
+
+
+_LAST = "WITH g AS (SELECT user_id, max(event_id) AS last, coalesce(max(event_id) FILTER (WHERE event_type = 'error'), -1) AS gone FROM events GROUP BY 1), h AS (SELECT g.user_id, count(*) AS v, max(event_id) AS e, max_by(event_type, event_id) AS t, max_by(props, event_id) AS p FROM g JOIN events x ON x.user_id = g.user_id AND x.event_id > g.gone GROUP BY 1)"
+add("bulk_ndjson", _bulk_ndjson, _LAST + " SELECT CAST(user_id AS VARCHAR) AS _id, v AS _version, e AS event, t AS type FROM h")
+
+
+def _json_log(spark: SparkSession, d: str) -> DataFrame:
+    """All events as a log of JSON lines in several files of unlike sizes, replayed."""
+    e, to = read(spark, d, "events"), _folder(spark, "log")
+    line = F.to_json(F.struct(F.when(F.col("event_type") == "error", "del").otherwise("put").alias("op"), F.col("user_id").cast("string").alias("id"), F.struct(F.col("event_id").alias("event")).alias("src")))
+    n = F.pmod(F.col("event_id"), F.lit(7))
+    lines_of(e.withColumn("line", F.when(n == 3, F.concat(F.lit("not json\n"), line)).otherwise(line)), "event_id", F.col("line"), to, 6)
+    return oplog.latest(oplog.read_json_log(spark, to, "users")).select("_id", "_version", F.get_json_object("_source", "$.event").cast("long").alias("event"))
+
+
+add("json_log_replay", _json_log, _LAST + " SELECT CAST(user_id AS VARCHAR) AS _id, v AS _version, e AS event FROM h")
+
+
+def json_nations(spark: SparkSession, d: str) -> Engine:
+    """All nations as JSON documents."""
+    e = Engine(spark)
+    n = read(spark, d, "nation")
+    e.ingest("nations", n.select(F.col("n_nationkey").cast("long").alias("seq"), F.lit("index").alias("op"), F.col("n_nationkey").cast("string").alias("id"), F.to_json(F.struct("n_name", "n_regionkey")).alias("doc")))
+    return e
+
+
+def _saved(spark: SparkSession, d: str) -> DataFrame:
+    e, to = json_nations(spark, d), _folder(spark, "store")
+    e.remove("nations", "3")
+    e.save(to)
+    again = Engine(spark)
+    again.load(to, ["nations"])
+    return again.search("nations", {"query": {"range": {"n_regionkey": {"gte": 1}}}, "size": -1}).hits.select("_id", F.get_json_object("_source", "$.n_name").alias("name"))
+
+
+add("save_load", _saved, "SELECT CAST(n_nationkey AS VARCHAR) AS _id, n_name AS name FROM nation WHERE n_regionkey >= 1 AND n_nationkey <> 3")
+
+
+def _single_puts(spark: SparkSession, d: str) -> DataFrame:
+    """Single writes over all nations: one put, one create that conflicts, one without an id, an update and a delete."""
+    e = json_nations(spark, d)
+    e.put("nations", "100", {"n_name": "NOWHERE", "n_regionkey": 9})
+    e.put("nations", "0", {"n_name": "CLASH"}, create=True)
+    e.put("nations", None, {"n_name": "NEW", "n_regionkey": 9})
+    e.update("nations", "1", {"n_regionkey": 9})
+    e.remove("nations", "2")
+    hits = e.search("nations", {"size": -1}).hits
+    return hits.select(F.when(F.col("_id").startswith("ls-"), "auto").otherwise(F.col("_id")).alias("_id"), F.get_json_object("_source", "$.n_name").alias("name"), F.get_json_object("_source", "$.n_regionkey").cast("long").alias("region"))
+
+
+add("single_writes", _single_puts, "SELECT CAST(n_nationkey AS VARCHAR) AS _id, n_name AS name, CASE WHEN n_nationkey = 1 THEN 9 ELSE CAST(n_regionkey AS BIGINT) END AS region FROM nation WHERE n_nationkey <> 2 UNION ALL VALUES ('100', 'NOWHERE', CAST(9 AS BIGINT)), ('auto', 'NEW', 9)")
+
+
+def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _bulk_items(spark: SparkSession, d: str) -> DataFrame:
+    body = '{"index":{"_id":"1"}}\n{"a":1}\n{"create":{"_id":"1"}}\n{"a":2}\n{"update":{"_id":"1"}}\n{"doc":{"b":2}}\n{"update":{"_id":"5"}}\n{"doc":{"b":2}}\n{"delete":{"_id":"1"}}\n{"delete":{"_id":"1"}}\n{"index":{"_id":"2"}}\nbroken\n'
+    return Engine(spark).bulk(body, "x").select("seq", "op", "_id", "status", "result", "error")
+
+
+add("bulk_items", _bulk_items, "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'index', '1', 201, 'created', NULL), (1, 'create', '1', 409, NULL, 'version_conflict_engine_exception'), (2, 'update', '1', 200, 'updated', NULL), (3, 'update', '5', 404, NULL, 'document_missing_exception'), (4, 'delete', '1', 200, 'deleted', NULL), (5, 'delete', '1', 404, 'not_found', NULL), (6, 'index', '2', 400, NULL, 'mapper_parsing_exception')) t(seq, op, _id, status, result, error)")
+
+
+def _mapping(spark: SparkSession, d: str) -> DataFrame:
+    """The mapping that all nations infer, one field declared before and one added later."""
+    e = Engine(spark)
+    e.create("nations", {"properties": {"n_name": {"type": "keyword"}}})
+    n = read(spark, d, "nation")
+    e.ingest("nations", n.select(F.col("n_nationkey").cast("long").alias("seq"), F.lit("index").alias("op"), F.col("n_nationkey").cast("string").alias("id"), F.to_json(F.struct("n_name", "n_regionkey", F.lit("2024-01-01").alias("since"), F.struct(F.lit("x").alias("y")).alias("o"))).alias("doc")))
+    e.put_mapping("nations", {"properties": {"later": {"type": "double"}}})
+    return rows_of(spark, sorted(e.indices["nations"].types.items()), "path string, type string")
+
+
+add("mapping", _mapping, "SELECT * FROM (VALUES ('later', 'double'), ('n_name', 'keyword'), ('n_regionkey', 'long'), ('o.y', 'text'), ('o.y.keyword', 'keyword'), ('since', 'date')) t(path, type)")
+
+
+def _index_crud(spark: SparkSession, d: str) -> DataFrame:
+    from .facade import Facade
+
+    api = Facade(Engine(spark))
+    calls = [("PUT", "/a"), ("PUT", "/a"), ("HEAD", "/a"), ("HEAD", "/b"), ("GET", "/a"), ("GET", "/b"), ("PUT", "/_bad"), ("GET", "/a/_settings"), ("PUT", "/a/_mapping"), ("DELETE", "/a"), ("DELETE", "/a"), ("GET", "/_cluster/health"), ("GET", "/_nodes"), ("GET", "/"), ("GET", "/_template/x"), ("HEAD", "/_template/x"), ("POST", "/_refresh"), ("GET", "/_cat/indices"), ("POST", "/a/_open"), ("GET", "/a/_alias"), ("GET", "/favicon.ico"), ("GET", "/a/_nonsense")]
+    return rows_of(spark, [(i, m, p, api.request(m, p, {})[0]) for i, (m, p) in enumerate(calls)], "call int, method string, path string, status int")
+
+
+add("index_crud", _index_crud, "SELECT * FROM (VALUES (0, 'PUT', '/a', 200), (1, 'PUT', '/a', 400), (2, 'HEAD', '/a', 200), (3, 'HEAD', '/b', 404), (4, 'GET', '/a', 200), (5, 'GET', '/b', 404), (6, 'PUT', '/_bad', 400), (7, 'GET', '/a/_settings', 200), (8, 'PUT', '/a/_mapping', 200), (9, 'DELETE', '/a', 200), (10, 'DELETE', '/a', 404), (11, 'GET', '/_cluster/health', 200), (12, 'GET', '/_nodes', 200), (13, 'GET', '/', 200), (14, 'GET', '/_template/x', 200), (15, 'HEAD', '/_template/x', 404), (16, 'POST', '/_refresh', 200), (17, 'GET', '/_cat/indices', 200), (18, 'POST', '/a/_open', 200), (19, 'GET', '/a/_alias', 200), (20, 'GET', '/favicon.ico', 404), (21, 'GET', '/a/_nonsense', 400)) t(call, method, path, status)")
+add("uri_params", lambda spark, d: engine(spark, d, "part").search("part", {"_source": False}, q="hot ring", size=-1, sort="p_size:desc").hits.select("_id", F.col("sort")[0]["num"].alias("size")), f"WITH {corpus('part', 'p_name', ', p_size')} SELECT _id, CAST(p_size AS DOUBLE) AS size FROM d WHERE {has('hot')} OR {has('ring')}")
+add("sort_values", lambda spark, d: engine(spark, d, "orders").search("orders", {"sort": ["o_orderpriority.keyword", {"o_totalprice": "desc"}, "o_orderdate"], "size": -1, "_source": False}).hits.select("_id", F.col("sort")[0]["str"].alias("priority"), F.col("sort")[1]["num"].alias("price"), F.col("sort")[2]["num"].alias("at")), "SELECT CAST(o_orderkey AS VARCHAR) AS _id, o_orderpriority AS priority, o_totalprice AS price, CAST(epoch_ms(o_orderdate) AS DOUBLE) AS at FROM orders")
+
+
+def _response(spark: SparkSession, d: str) -> DataFrame:
+    """The answer of a search request as the facade gives it: a page of hits, total, greatest score and buckets."""
+    from .facade import Facade
+
+    body = {"query": {"match": {"p_name": "red ring"}}, "size": 5, "aggs": {"b": {"terms": {"field": "p_brand.keyword", "size": 3}}}}
+    _, r = Facade(engine(spark, d, "part")).request("POST", "/part/_search", body)
+    hits = [("hit", h["_id"], round(h["_score"], 6)) for h in r["hits"]["hits"]]
+    more = [("total", "", float(r["hits"]["total"]["value"])), ("max", "", round(r["hits"]["max_score"], 6)), ("other", "", float(r["aggregations"]["b"]["sum_other_doc_count"]))]
+    return rows_of(spark, hits + more + [("bucket", b["key"], float(b["doc_count"])) for b in r["aggregations"]["b"]["buckets"]], "what string, key string, value double")
+
+
+add("response", _response, _DIS + """, m AS (SELECT _id, x + y AS v, p_brand FROM j JOIN part ON CAST(p_partkey AS VARCHAR) = _id WHERE x + y > 0), k AS (SELECT p_brand, count(*) AS n FROM m GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)
+SELECT 'hit' AS what, _id AS key, round(v, 6) AS value FROM (SELECT * FROM m ORDER BY v DESC, _id LIMIT 5) UNION ALL SELECT 'total', '', CAST(count(*) AS DOUBLE) FROM m UNION ALL SELECT 'max', '', round(max(v), 6) FROM m
+UNION ALL SELECT 'bucket', p_brand, CAST(n AS DOUBLE) FROM k UNION ALL SELECT 'other', '', CAST((SELECT count(*) FROM m) - sum(n) AS DOUBLE) FROM k""")
+add(
+    "highlight_non_ascii",
+    lambda spark, d: engine(spark, d, "documents").search("documents", {"query": {"match": {"text": "eaue que"}}, "highlight": {"fields": {"text": {}}, "pre_tags": ["["], "post_tags": ["]"]}, "size": -1, "_source": False}).hits.select("_id", F.col("highlight")["text"][0].alias("marked")),
+    rf"WITH w AS (SELECT CAST(doc_id AS VARCHAR) AS _id, text, regexp_extract_all(text, '[A-Za-z0-9\x{{80}}-\x{{10FFFF}}]+|[^A-Za-z0-9\x{{80}}-\x{{10FFFF}}]+') AS s FROM documents), m AS (SELECT _id, text, array_to_string(list_transform(s, lambda x: CASE WHEN {norm('x')} IN ('eaue', 'que') THEN '[' || x || ']' ELSE x END), '') AS marked FROM w WHERE list_contains({tok('text')}, 'eaue') OR list_contains({tok('text')}, 'que')) SELECT _id, CASE WHEN marked <> text THEN marked END AS marked FROM m",
+)
+add("analyze_texts", lambda spark, d: Engine(spark).analyze(["Crème Brûlée", "2 Eggs!"]), "SELECT * FROM (VALUES ('creme', '<ALPHANUM>', 0, 0, 5), ('brulee', '<ALPHANUM>', 1, 0, 6), ('2', '<ALPHANUM>', 2, 0, 1), ('eggs', '<ALPHANUM>', 3, 0, 4)) t(token, type, position, start_offset, end_offset)")
+agg(
+    "agg_global_nested",
+    "events",
+    {"t": {"terms": {"field": "event_type.keyword", "size": 3}, "aggs": {"g": {"global": {}, "aggs": {"h": {"terms": {"field": "event_type.keyword", "size": 2}, "aggs": {"m": {"max": {"field": "value"}}}}}}}}},
+    "WITH k AS (SELECT event_type AS t, count(*) AS n FROM events GROUP BY 1), a AS (SELECT t FROM k ORDER BY n DESC, t LIMIT 3), b AS (SELECT t, n FROM k ORDER BY n DESC, t LIMIT 2) SELECT a.t, b.t AS key, b.n AS doc_count, (SELECT max(value) FROM events WHERE event_type = b.t) AS m FROM a, b",
+    "t>g>h",
+    lambda x: x.select("t", "key", "doc_count", "m"),
+    {"range": {"value": {"gte": 10}}},
+)

@@ -104,7 +104,7 @@ def sample(docs: DataFrame, text: str, lang: str, max_train_rows: int) -> DataFr
     n = docs.filter(col(lang).isNotNull()).count()
     if n > max_train_rows:
         parts = 1_000_000
-        rows = rows.filter(F.pmod(F.xxhash64(F.length("text"), F.substring("text", 1, 64), F.expr("right(text, 64)")), F.lit(parts)) < int(parts * max_train_rows / n))
+        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) < int(parts * max_train_rows / n))
     return rows
 
 

@@ -78,3 +78,18 @@ def test_texts_in_no_trained_language_are_rejected(spark):
     assert [i for i, *_, want in docs if got[i]["accepted"] != want] == []
     assert all(got[i]["lang"] == "und" and got[i]["confidence"] == 0 for i, *_ in planted)
     assert {r["doc_id"] for r in L.filter_language(df).collect()}.isdisjoint({i for i, *_ in planted})
+
+
+def test_ties_go_to_the_first_language(spark):
+    """Two languages with the same texts are as likely; the alphabetically first is given."""
+    text = "words that both of them have in the same order and number"
+    df = spark.createDataFrame([(i, text, "bb" if i % 2 else "aa") for i in range(40)], "doc_id long, text string, lang string")
+    assert {(r["lang"], r["confidence"]) for r in L.identify(df).collect()} == {("aa", 0.5)}
+
+
+def test_the_sample_takes_whole_texts(spark):
+    """Texts that are alike at both ends and as long are drawn or left each for itself."""
+    ends = "x" * 80
+    df = spark.createDataFrame([(f"{ends} {i:06d} {ends}", "aa") for i in range(2000)], "text string, lang string")
+    n = L.sample(df, "text", "lang", 500).count()
+    assert 400 < n < 600

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from ..functions.values import Values, kind_of, py_string, zone_of
 
 LONGS = {"long", "integer", "short", "byte", "unsigned_long"}
+#: What may be shuffled to tokenize it on all cores.
+SPREAD_BYTES = 256 << 20
 DOUBLES = {"double", "float", "half_float", "scaled_float"}
 
 
@@ -104,7 +106,10 @@ class Index:
         self._splits: int | None = None
 
     def spread(self, df: DataFrame) -> DataFrame:
-        """df over all cores, where the table's files give fewer splits than there are: tokenizing costs more than moving a small table. Large tables stay."""
+        """df over all cores, where a table of up to SPREAD_BYTES comes in fewer splits than there are: tokenizing costs more than moving it. A larger table stays as
+        it is read, on clusters of any size. The rows are the same."""
+        if self._splits is None and int(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+            self._splits = 1 << 30
         if self._splits is None:
             plan = self.df._jdf.queryExecution().executedPlan()
             # only of a plain scan is the number of splits known without running anything

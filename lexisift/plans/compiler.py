@@ -69,6 +69,7 @@ class Context:
             self.prefix += "_"
         self.arrays: dict[str, tuple[str, Values]] = {}
         self.joined: dict[str, str] = {}
+        self.counts: dict[tuple[str, str | None], str] = {}
         self.aggregates: dict[str, tuple[str, Column]] = {}
         self.fuzzy: dict[tuple, str] = {}
         self.lists: dict[str, dict[tuple, tuple[str, Column, Column]]] = {}
@@ -117,6 +118,10 @@ class Context:
         self.joined.setdefault(path, f"{self.prefix}j{len(self.joined)}")
         return F.col(self.joined[path])
 
+    def tf(self, path: str, term: str | None) -> Column:
+        """How often a term stands in the field, made once a row; without a term, the number of tokens."""
+        return F.col(self.counts.setdefault((path, term), f"{self.prefix}c{len(self.counts)}"))
+
     def stat(self, key: str, value: Column) -> Column:
         if key not in self.aggregates:
             self.aggregates[key] = (f"{self.prefix}s{len(self.aggregates)}", value)
@@ -183,6 +188,15 @@ class Context:
         if self.joined:
             none = F.monotonically_increasing_id() < 0
             df = df.withColumns({j: F.when(none, "").otherwise(F.concat(F.lit(" "), F.array_join(self.arrays[p][0], " ", "\n"), F.lit(" "))) for p, j in self.joined.items()})
+        if self.counts:
+            once = F.monotonically_increasing_id() >= 0  # as above: not copied into each use
+            made = {}
+            for (path, term), name in self.counts.items():
+                tok = F.col(self.arrays[path][0])
+                many = self.index.posted(path).many and self.index.type(path) == "text"
+                size = F.size(F.array_compact(tok) if many else tok) if term is None else F.size(tok) - F.size(F.array_remove(tok, term))
+                made[name] = F.when(once, F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)))
+            df = df.withColumns(made)
         return df
 
     def frame(self, plain: tuple[Column, ...] = ()) -> DataFrame:
@@ -235,13 +249,12 @@ class Field:
 
     def __init__(self, ctx: Context, path: str):
         self.ctx, self.path, self.tok = ctx, path, ctx.tokens(path)
-        many = ctx.index.posted(path).many and ctx.index.type(path) == "text"
-        self.length = F.size(F.array_compact(self.tok)) if many else F.size(self.tok)
+        self.length = ctx.tf(path, None)
         self.n_docs = ctx.stat(f"n:{path}", F.count_if(self.length > 0))
         self.mean = F.greatest(ctx.stat(f"l:{path}", F.coalesce(F.sum(self.length), F.lit(0))) / F.greatest(self.n_docs, F.lit(1)), F.lit(1.0))
 
     def has(self, term: str) -> Column:
-        return F.coalesce(F.array_contains(self.tok, term), F.lit(False))
+        return self.ctx.tf(self.path, term) > 0
 
     def _weight(self, tf: Column) -> Column:
         return _bm25_weight(tf, self.length, self.mean)
@@ -262,8 +275,7 @@ class Field:
 
     def bm25(self, term: str, boost: float) -> Column:
         df = self.ctx.stat(f"df:{self.path}:{term}", F.count_if(self.has(term)))
-        tf = F.size(self.tok) - F.size(F.array_remove(self.tok, term))
-        return F.lit(float(boost)) * _idf(self.n_docs, df) * self._weight(tf)
+        return F.lit(float(boost)) * _idf(self.n_docs, df) * self._weight(self.ctx.tf(self.path, term))
 
     def fuzzy(self, term: str, most: int, boost: float) -> Clause:
         """The greatest of the exact score and the candidates' scores, these less a quarter for each edit."""

@@ -9,8 +9,11 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from .catalog import valid_name
 from .documents import merge_json, parse
 
 OPS = "request long, ordinal long, _index string, op string, id string, doc string, upsert string, error string"
+#: Operations that go back to the JVM at once.
+BATCH = 10_000
 SNAPSHOT = "_index string, _id string, _version long, _seq_no long, _source string"
 APPLIED = "_index string, _id string, _version long, _seq_no long, _source string, seq long, op string, status int, result string, error string"
 
@@ -28,33 +33,41 @@ def auto_id() -> str:
 
 def parse_bulk(body: str, default_index: str | None = None) -> list[dict]:
     """The operations of one bulk body. A malformed action ends it; what comes before stands, and a row with an error follows."""
-    lines = iter([x.strip() for x in body.split("\n") if x.strip()])
-    out: list[dict] = []
+    return list(_operations(body.split("\n"), default_index))
 
-    def fail(reason: str) -> list[dict]:
-        return [*out, {"ordinal": len(out), "_index": None, "op": "error", "id": None, "doc": None, "upsert": None, "error": reason}]
+
+def _operations(body: Iterable[str], default_index: str | None) -> Iterator[dict]:
+    """parse_bulk of the body's lines, of which no more than two are held."""
+    lines = (y for x in body if (y := x.strip()))
+    n = 0
+
+    def fail(reason: str) -> dict:
+        return {"ordinal": n, "_index": None, "op": "error", "id": None, "doc": None, "upsert": None, "error": reason}
 
     for line in lines:
         try:
             action = json.loads(line)
         except ValueError as e:
-            return fail(f"malformed action line: {e}")
+            yield fail(f"malformed action line: {e}")
+            return
         op = next((k for k in ("index", "create", "update", "delete") if isinstance(action, dict) and isinstance(action.get(k), dict)), None)
         if op is None:
-            return fail("action line missing operation")
+            yield fail("action line missing operation")
+            return
         meta = action[op]
-        row = {"ordinal": len(out), "_index": meta.get("_index") or default_index, "op": op, "id": meta.get("_id") or "", "doc": None, "upsert": None, "error": None}
+        row = {"ordinal": n, "_index": meta.get("_index") or default_index, "op": op, "id": meta.get("_id") or "", "doc": None, "upsert": None, "error": None}
         if op != "delete":
             src = next(lines, None)
             if src is None:
-                return fail(f"missing source line for {op}")
+                yield fail(f"missing source line for {op}")
+                return
             row |= _source(op, src)
             if not valid_name(row["_index"] or ""):
                 row["error"] = "invalid_index_name_exception"
             elif not row["id"] and op != "update":
                 row["id"] = auto_id()
-        out.append(row)
-    return out
+        yield row
+        n += 1
 
 
 def _source(op: str, src: str) -> dict:
@@ -75,7 +88,7 @@ def _source(op: str, src: str) -> dict:
 
 
 def bulk_operations(bodies: DataFrame, default_index: str | None = None) -> DataFrame:
-    """Operations of bulk bodies (request, body), in parallel over the requests."""
+    """Operations of bulk bodies (request, body), in parallel over the requests. A body is one value: files are read by read_bulk."""
 
     def run(it):
         for data in it:
@@ -87,11 +100,27 @@ def bulk_operations(bodies: DataFrame, default_index: str | None = None) -> Data
 
 
 def read_bulk(spark: SparkSession, path: str, default_index: str | None = None) -> DataFrame:
-    """Bulk files, each one request; the order of requests is that of their paths."""
-    files = spark.read.text(path, wholetext=True)
+    """Bulk files, each one request; the order of requests is that of their paths.
+
+    The lines of a file come to one task, in order, and are parsed as they come, so that no more of a file than a batch of lines is in memory.
+    """
+
+    def lines_of(it):
+        for data in it:
+            yield from zip(data["request"], data["value"])
+
+    def run(it):
+        for request, lines in groupby(lines_of(it), lambda x: x[0]):
+            rows = _operations((x for _, x in lines), default_index)
+            while some := list(islice(rows, BATCH)):
+                yield pd.DataFrame([{"request": int(request)} | r for r in some])[["request", "ordinal", "_index", "op", "id", "doc", "upsert", "error"]]
+
+    files = spark.read.text(path, lineSep="\n")
     order = spark.createDataFrame(list(enumerate(sorted(files.inputFiles()))), "request long, p string")
-    bodies = files.select(F.input_file_name().alias("q"), F.col("value").alias("body")).join(order, F.col("p") == F.col("q"))
-    return bulk_operations(bodies.select("request", "body"), default_index)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # rises within a split
+    lines = files.select("value", F.input_file_name().alias("q"), F.col("_metadata.file_block_start").alias("__b"), row.alias("__r"))
+    lines = lines.join(order, F.col("p") == F.col("q")).select("request", "__b", "__r", "value")
+    return lines.repartition("request").sortWithinPartitions("request", "__b", "__r").select("request", "value").mapInPandas(run, OPS)
 
 
 def sequence(ops: DataFrame, start: int = 0) -> DataFrame:
@@ -111,19 +140,16 @@ def latest(log: DataFrame) -> DataFrame:
     return held.select("_index", F.col("id").alias("_id"), "_version", F.col("last.seq").alias("_seq_no"), F.col("last.src").alias("_source"))
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
+def _fold(rows: Iterable[tuple]) -> Iterator[tuple]:
     """All operations on one id in order; a row for each with the outcome, and the snapshot's state after it."""
-    pdf = pdf.sort_values("seq", kind="stable")
-    source, version, seq, out = None, 0, None, []
-    for r in pdf.itertuples(index=False):
-        op, error = r.op, r.error if isinstance(r.error, str) else None
-        doc, upsert = (x if isinstance(x, str) else None for x in (r.doc, r.upsert))
+    source, version, seq = None, 0, None
+    for name, id_, at, op, doc, upsert, error, held, held_seq in rows:
         if op == "base":
-            source, version, seq = doc, int(r.version), int(r.seq_no)
-            out.append((r.name, r.id, version, seq, source, int(r.seq), op, 200, "base", None))
+            source, version, seq = doc, held, held_seq
+            yield name, id_, version, seq, source, at, op, 200, "base", None
             continue
         status, result = 200, None
-        if error:
+        if error is not None:
             status = 400
         elif op == "delete":
             status, result = (200, "deleted") if source is not None else (404, "not_found")
@@ -132,23 +158,32 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
             status, error = 409, "version_conflict_engine_exception"
         elif op in ("index", "create"):
             status, result = (200, "updated") if source is not None else (201, "created")
-            source, version, seq = doc, version + 1, int(r.seq)
+            source, version, seq = doc, version + 1, at
         elif source is None and upsert is None:
             status, error = 404, "document_missing_exception"
         elif source is None:
-            source, version, seq, result = upsert, 1, int(r.seq), "created"
+            source, version, seq, result = upsert, 1, at, "created"
         elif doc is None:
             status, error = 400, "mapper_parsing_exception"
         else:
-            source, version, seq, result = merge_json(source, doc), version + 1, int(r.seq), "updated"
-        out.append((r.name, r.id, version, seq if source is not None else None, source, int(r.seq), op, status, result, error))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in APPLIED.split(", ")])
+            source, version, seq, result = merge_json(source, doc), version + 1, at, "updated"
+        yield name, id_, version, seq if source is not None else None, source, at, op, status, result, error
+
+
+def _folds(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Operations sorted by name, id and seq, folded by id as they come; an id's operations may span batches."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in APPLIED.split(", "))])
+    rows = (r for data in it for r in zip(*[c.to_pylist() for c in data.columns]))
+    out = (r for _, own in groupby(rows, lambda r: r[:2]) for r in _fold(own))
+    while some := list(islice(out, BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some), schema)], schema=schema)
 
 
 def apply_operations(snapshot: DataFrame | None, ops: DataFrame) -> DataFrame:
     """A row for each operation with its outcome (status, result, error) and the document after it; `base` rows are the snapshot's.
 
-    Operations on one id are folded in order, those on different ids in parallel.
+    Operations on one id are folded in order, those on different ids in parallel; of an id with very many, no more than a batch is in memory.
     """
     columns = ["_index", "seq", "op", "id", "doc", "upsert", "error"]
     have = ops.columns
@@ -159,7 +194,8 @@ def apply_operations(snapshot: DataFrame | None, ops: DataFrame) -> DataFrame:
         base = snapshot.join(touched, (F.col("_index") == F.col("__i")) & (F.col("_id") == F.col("__d")), "left_semi")
         base = base.select("_index", F.lit(-(1 << 62)).alias("seq"), F.lit("base").alias("op"), F.col("_id").alias("id"), F.col("_source").alias("doc"), F.lit(None).cast("string").alias("upsert"), F.lit(None).cast("string").alias("error"), F.col("_version").alias("version"), F.col("_seq_no").alias("seq_no"))
         rows = rows.unionByName(base)
-    return rows.withColumnRenamed("_index", "name").groupBy("name", "id").applyInPandas(_fold, APPLIED)
+    rows = rows.select(F.col("_index").alias("name"), "id", F.col("seq").cast("long").alias("seq"), "op", "doc", "upsert", "error", "version", "seq_no")
+    return rows.repartition("name", "id").sortWithinPartitions("name", "id", "seq").mapInArrow(_folds, APPLIED)
 
 
 def after(snapshot: DataFrame | None, applied: DataFrame) -> DataFrame:

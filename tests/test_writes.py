@@ -1,7 +1,9 @@
 """Bulk requests, partial updates, logs, persistence and the stream of operations."""
 
+import itertools
 import json
 
+import pyarrow as pa
 import pytest
 
 from lexisift.engine import Engine
@@ -176,3 +178,29 @@ def test_writes_touch_only_what_they_change(spark, monkeypatch):
     assert {x["_id"] for x in e.search("t", {"size": -1}).hits.collect()} == {"1", "2", "4", "5", "7", "8", "9"}
     e.put("t", "500", {"n": -1})
     assert e.get("t", "500").first()["_version"] == 1 and e.get("t", "1").first()["_version"] == 2
+
+
+def test_bulk_files_are_parsed_as_they_come(spark, tmp_path):
+    """Files in many splits give what their whole bodies give, in order; no file and no id's operations are held as a whole."""
+    (tmp_path / "in").mkdir()
+    put = lambda i, d: json.dumps({"index": {"_index": "a", "_id": str(i % 7)}}) + "\n" + json.dumps(d)
+    good = "\n".join([put(i, {"v": i}) if i % 3 else json.dumps({"delete": {"_index": "a", "_id": str(i % 5)}}) for i in range(300)])
+    like = "\r\n".join(["", put(1, {"delete": {"_index": "a", "_id": "1"}}), "  ", put(2, {"index": {}}), '{"update":{"_index":"a","_id":"1"}}', "broken", '{"create":{"_index":"a","_id":"1"}}'])
+    bodies = {"1.ndjson": good + "\nno action\n" + good, "2 b.ndjson": good.replace('"a"', '"b"'), "3.ndjson": like, "4.ndjson": "", "5.ndjson": put(9, {"v": 1}) + "\n"}
+    for name, body in bodies.items():
+        (tmp_path / "in" / name).write_bytes(body.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        got = [r.asDict() for r in oplog.read_bulk(spark, f"file://{tmp_path}/in").orderBy("request", "ordinal").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [{"request": q} | r for q, b in enumerate(bodies.values()) for r in oplog.parse_bulk(b)]
+    assert [r["op"] for r in got if r["request"] == 0][-1] == "error" and len(got) == 300 + 1 + 300 + 4 + 1
+
+    endless = (x for _ in iter(int, 1) for x in ('{"index":{"_id":"1"}}', "{}"))
+    assert [r["ordinal"] for r in itertools.islice(oplog._operations(endless, "a"), 3)] == [0, 1, 2]
+    columns = ["name", "id", "seq", "op", "doc", "upsert", "error", "version", "seq_no"]
+    batch = lambda k: pa.RecordBatch.from_pydict({c: pa.array([{"name": "a", "id": "x", "seq": (1 << 60) + 4000 * k + i, "op": "index", "doc": "{}"}.get(c) for i in range(4000)], pa.int64() if c in ("seq", "version", "seq_no") else pa.string()) for c in columns})
+    first, second = itertools.islice(oplog._folds(batch(k) for k in itertools.count()), 2)
+    assert first.num_rows == second.num_rows == oplog.BATCH and second.column("_version")[-1].as_py() == 2 * oplog.BATCH and second.column("_seq_no")[-1].as_py() == (1 << 60) + 2 * oplog.BATCH - 1
